@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import line_dedup
+from strandlake.llm import decontamination, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op5_decontamination": decontamination.op5_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE}
