@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontamination, line_dedup
+from strandlake.llm import decontamination, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op5_decontamination": decontamination.op5_decontamination}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op5_decontamination": decontamination.op5_decontamination,
+        "op7_packing": packing.op7_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
