@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontamination, line_dedup, packing
+from strandlake.llm import decontamination, line_dedup, minhash, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op5_decontamination": decontamination.op5_decontamination,
         "op7_packing": packing.op7_packing,
     }
