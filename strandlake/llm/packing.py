@@ -44,10 +44,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         for b in batches:
             ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for lo, hi in in_slices(texts):
-                if hi - lo > 1:
-                    t.learn_all([x for x in texts[lo:hi] if x])
-                for doc, text in zip(ids[lo:hi], texts[lo:hi], strict=True):
-                    tokens = np.append(t.encode(text or ""), np.uint32(END)).astype("<u4")
+                for doc, found in zip(ids[lo:hi], t.encode_all(texts[lo:hi]), strict=True):
+                    tokens = np.append(found, np.uint32(END)).astype("<u4")
                     for k in range(0, len(tokens), capacity):
                         part = tokens[k : k + capacity]
                         rows.append((doc, k // capacity, k, len(part), zlib.crc32(part.tobytes())))

@@ -1,21 +1,25 @@
-"""Token ids of whole texts with a public tokenizer, by way of the distinct white-space separated parts of the texts.
+"""Token ids of whole texts with the public lower-casing word tokenizer, by way of the distinct words of the texts.
 
-The tokenizers used here never merge across white space, so a text's ids are those of its parts in turn. Parts are
-tokenised once for each worker process and looked up from then on; the table of parts is emptied when it is full.
+The tokenizer cuts a text into words, single digits and runs of marks, and merges only inside these. They are tokenised
+once for each worker process, many in one call, and looked up from then on; the table of them is emptied when it is full.
+Texts with letters beyond Latin-1 or with the tokenizer's special strings go to the tokenizer as they are.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Parts that a worker keeps, about 150 MB, and characters that are taken in at once.
-MOST_PARTS = 400_000
+#: Words that a worker keeps, about 100 MB, and characters that are taken in at once.
+MOST_WORDS = 400_000
 CHARS_AT_ONCE = 1 << 20
-MARKS = ".,;:!?"
+_LETTER = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ"
+_NUMBER = "0-9²³¹¼-¾"
+_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r \x85\xa0{_LETTER}{_NUMBER}]+")
 _loaded: dict[str, PartTokenizer] = {}
 
 
@@ -32,12 +36,28 @@ def pieces_of(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def plain(text: str) -> bool:
+    """Whether words can be looked up: Latin-1 is composed as it is and lower-cases letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
 class PartTokenizer:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        if spec["model"]["type"] != "BPE" or spec["model"]["end_of_word_suffix"] != "</w>":
+            raise ValueError("a tokenizer with marked word ends is needed")
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": split}))
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -46,65 +66,50 @@ class PartTokenizer:
         self.used = 0
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.index) + len(parts) > MOST_PARTS and self.index:
-            self._clear()
-        new = [p for p in parts if p not in self.index]
-        got = self._ids(new)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        n, total = len(self.index), int(size.sum())
+        """parts: those that a text needs and that are not known."""
+        new = list(parts)
+        ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(new):
+            raise ValueError("words and word ends differ")
+        size = np.diff(last, prepend=-1)
+        n, total = len(self.index), len(ids)
         while len(self.start) < n + len(new):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = ids
         self.size[n : n + len(new)] = size
-        self.start[n : n + len(new)] = self.used + np.cumsum(size) - size
+        self.start[n : n + len(new)] = self.used + last + 1 - size
         self.used += total
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
 
-    def _ids(self, parts: list[str]) -> list[list[int]]:
-        """Most parts are a word of Latin letters and some marks: the word's ids then the marks'. Words go in one long text."""
-        split = []
-        for p in parts:
-            word = p.rstrip(MARKS)
-            split.append((word.lower(), p[len(word) :]) if word.isalpha() and max(word) < "\u0100" else None)
-        words = list({x[0] for x in split if x})
-        ids: dict[str, list[int]] = {"": []}
-        if words:
-            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            tokens, at = found.ids, found.word_ids
-            if at[-1] != len(words) - 1:
-                raise ValueError("the tokenizer does not keep words of letters whole")
-            bounds = np.flatnonzero(np.diff(np.array(at), prepend=-1)).tolist()
-            ids.update((w, tokens[a:b]) for w, a, b in zip(words, bounds, [*bounds[1:], len(tokens)], strict=True))
-        others = list({x[1] for x in split if x and x[1]} | {p for p, x in zip(parts, split, strict=True) if x is None})
-        ids.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
-        return [ids[x[0]] + ids[x[1]] if x else ids[p] for p, x in zip(parts, split, strict=True)]
-
     def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([self._encode(x) for x in pieces_of(text)])
-
-    def _encode(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        except KeyError:
-            known = self.index.keys()
-            if missing := set(parts) - known:
-                self._learn(missing if len(self.index) + len(missing) <= MOST_PARTS else set(parts))
-            at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-        size = self.size[at]
-        total = int(size.sum())
-        return self.ids[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(total)]
-
-    def learn_all(self, texts: list[str]) -> None:
-        """Take in the new parts of several texts at once, which the tokenizer does faster than one text at a time."""
-        parts: set[str] = set()
-        for t in texts:
-            parts.update(t.replace("\n", " ").split(" "))
-        missing = parts - self.index.keys()
-        if missing and len(missing) <= MOST_PARTS // 2:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; of texts of up to about CHARS_AT_ONCE characters in all, a longer one goes by itself."""
+        if len(texts) == 1 and len(texts[0] or "") > CHARS_AT_ONCE:
+            return [np.concatenate([self.encode_all([x])[0] for x in pieces_of(texts[0])])] if plain(texts[0]) else [self._whole(texts[0])]
+        easy = [t is not None and plain(t) for t in texts]
+        parts = [_PARTS.findall(t.lower()) if e else [] for t, e in zip(texts, easy, strict=True)]
+        flat = [p for x in parts for p in x]
+        missing = set(flat) - self.index.keys()
+        if missing:
+            if len(self.index) + len(missing) > MOST_WORDS and self.index:
+                self._clear()
+                missing = set(flat)
             self._learn(missing)
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        size = self.size[at]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[at] - (upto - size), size) + np.arange(int(size.sum()))]
+        cuts = np.r_[0, upto][np.cumsum([len(x) for x in parts])]
+        out = np.split(ids, cuts[:-1])
+        return [x if e else self._whole(t or "") for x, e, t in zip(out, easy, texts, strict=True)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def part_tokenizer(path: str) -> PartTokenizer:
@@ -114,12 +119,13 @@ def part_tokenizer(path: str) -> PartTokenizer:
 
 
 def in_slices(texts: list[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive slices with about so many characters."""
+    """Bounds of consecutive slices with about so many characters; a text that is longer stands alone."""
     first = total = 0
     for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
-            yield first, i + 1
-            first, total = i + 1, 0
+        n = len(t or "")
+        if total and total + n > chars:
+            yield first, i
+            first, total = i, 0
+        total += n
     if first < len(texts):
         yield first, len(texts)
