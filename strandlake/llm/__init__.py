@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontamination, line_dedup, minhash, packing
+from strandlake.llm import chat, decontamination, line_dedup, minhash, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
+        "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_decontamination": decontamination.op5_decontamination,
         "op7_packing": packing.op7_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontamination.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_decontamination": decontamination.ORACLE}
