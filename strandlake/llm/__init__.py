@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, decontamination, line_dedup, minhash, packing
+from strandlake.llm import chat, decontamination, line_dedup, minhash, packing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_decontamination": decontamination.op5_decontamination,
         "op7_packing": packing.op7_packing,
+        "op8_token_counts": token_counts.op8_token_counts,
     }
 
 

@@ -20,7 +20,7 @@ CHARS_AT_ONCE = 1 << 20
 _LETTER = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ"
 _NUMBER = "0-9²³¹¼-¾"
 _PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r \x85\xa0{_LETTER}{_NUMBER}]+")
-_loaded: dict[str, PartTokenizer] = {}
+_loaded: dict[tuple[str, bool], PartTokenizer] = {}
 
 
 def pieces_of(text: str) -> Iterator[str]:
@@ -46,11 +46,14 @@ def plain(text: str) -> bool:
 
 
 class PartTokenizer:
-    def __init__(self, path: str) -> None:
+    """special_as_text: the strings of special tokens in a text are ordinary text and never give their ids."""
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
         spec = json.loads(self.tokenizer.to_str())
         if spec["model"]["type"] != "BPE" or spec["model"]["end_of_word_suffix"] != "</w>":
             raise ValueError("a tokenizer with marked word ends is needed")
@@ -112,10 +115,11 @@ class PartTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def part_tokenizer(path: str) -> PartTokenizer:
-    if path not in _loaded:
-        _loaded[path] = PartTokenizer(path)
-    return _loaded[path]
+def part_tokenizer(path: str, special_as_text: bool = False) -> PartTokenizer:
+    key = (path, special_as_text)
+    if key not in _loaded:
+        _loaded[key] = PartTokenizer(path, special_as_text)
+    return _loaded[key]
 
 
 def in_slices(texts: list[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
