@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, decontamination, line_dedup, minhash, packing, token_counts, url_filter
+from strandlake.llm import chat, decontamination, embedding_dedup, line_dedup, minhash, packing, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op7_packing": packing.op7_packing,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
