@@ -7,9 +7,10 @@ compared on full sets.
 
 Groups of any size are handled without listing their pairs. Documents with equal sets fall together first. In a band's
 bucket every member is paired with the least one only; verified pairs give components; then only buckets that still
-span several components are looked at, where members of different components are compared by their packed bits, in
-blocks of bounded size, and what may link is verified too. So each pair that shares a band is either verified, or
-estimated clearly below the threshold, or already connected.
+span several components are looked at. Their members get a second signature of 1024 minima; members of different components
+are compared by their packed bits, in blocks of bounded size and once for all bands that they share, and what may link is
+verified too. So each pair that shares a band is either verified, or estimated clearly below the threshold, or already
+connected.
 
 Defined cases: null or wordless text has an empty set and links with nothing; with fewer than five words the whole
 sequence is the one shingle; each row gets a row, and rows that share a doc_id but not a text are compared each.
@@ -34,15 +35,23 @@ WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 MINIMA, BANDS, ROWS, BITS = 128, 25, 5, 2
+#: Minima of the second signature, which only documents get whose bucket the first verification leaves in several components.
+WIDE = 1024
 #: Standard deviations of the estimate by which a pair may fall short of the threshold and still be verified.
 DEVIATIONS = 5.0
 #: Members of a bucket that are compared with each other at once, and pairs that one verification group holds.
 BLOCK = 256
+#: Members of a bucket that are compared by their bits at once.
+BITS_BLOCK = 1024
+#: Rows of ids that are broadcast to fetch their texts, 40 bytes each; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Words that a worker keeps with their hashes.
 MOST_WORDS = 500_000
 
 _rng = np.random.default_rng(20240229)
 _FLIP, _TIMES = _rng.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32), _rng.integers(0, 1 << 31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_wide_rng = np.random.default_rng(20240301)
+_FLIP_WIDE, _TIMES_WIDE = _wide_rng.integers(0, 1 << 32, (WIDE, 1), dtype=np.uint32), _wide_rng.integers(0, 1 << 31, (WIDE, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -79,16 +88,17 @@ def shingles(text: bytes | None) -> np.ndarray:
     return s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """128 minima under different permutations, in blocks that fit the cache."""
-    x, out = s.astype(np.uint32), np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        out = np.minimum(out, ((x[i : i + 1024] ^ _FLIP) * _TIMES).min(axis=1))
+def minima(s: np.ndarray, flip: np.ndarray = _FLIP, times: np.ndarray = _TIMES) -> np.ndarray:
+    """Minima under different permutations, in blocks that fit the cache."""
+    x, out = s.astype(np.uint32), np.full(len(flip), 0xFFFFFFFF, np.uint32)
+    step = 1024 * MINIMA // len(flip)
+    for i in range(0, len(x), step):
+        out = np.minimum(out, ((x[i : i + step] ^ flip) * times).min(axis=1))
     return out
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """The two low bits of each minimum as four words: two of the first bit's plane, two of the second's."""
+    """The two low bits of each minimum, packed: the first bits of all, then the second bits."""
     return np.packbits(np.stack([m & np.uint32(1), (m >> np.uint32(1)) & np.uint32(1)]).astype(np.uint8), axis=1).view("<i8").ravel()
 
 
@@ -97,11 +107,11 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return _mix((_mix(rows + _BAND[:, :ROWS]) * _BAND[:, :ROWS]).sum(axis=1, dtype=np.uint64) ^ _BAND[:, ROWS]).view(np.int64)
 
 
-def most_mismatches(percent: int = PERCENT, deviations: float = DEVIATIONS) -> int:
-    """Unequal packed values, of 128, that a pair at the threshold has at most, but for a chance of about one in a million."""
+def most_mismatches(percent: int = PERCENT, deviations: float = DEVIATIONS, minima_: int = MINIMA) -> int:
+    """Unequal packed values, of so many, that a pair at the threshold has at most, but for a chance of about one in a million."""
     chance = 1 / (1 << BITS)
     p = percent / 100 * (1 - chance) + chance  # corrected for collisions
-    return int(MINIMA * (1 - p) + deviations * (MINIMA * p * (1 - p)) ** 0.5)
+    return int(minima_ * (1 - p) + deviations * (minima_ * p * (1 - p)) ** 0.5)
 
 
 SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "p0", "p1", "p2", "p3")), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -143,6 +153,14 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(sizes & (_mismatches("a", "b") <= most_mismatches(percent))).select("a", "b")
 
 
+def _with_text(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """need(id, ...) with texts. A bounded list of ids goes to the documents, so that no other text is moved."""
+    need = materialize(need, "need")
+    if need.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(need), "id")
+    return need.join(docs, "id")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) those that link on full sets. Each group has one centre's text and at most about BLOCK others'.
 
@@ -152,7 +170,7 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(sized, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
     centres = sized.select(F.col("a").alias("id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
     need = members.unionByName(centres)
-    with_text = need.join(docs, "id").select("centre", "salt", (F.col("id") != F.col("centre")).cast("int").alias("part"), "id", "text")
+    with_text = _with_text(need, docs).select("centre", "salt", (F.col("id") != F.col("centre")).cast("int").alias("part"), "id", "text")
     sorted_ = with_text.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,53 +192,87 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """rows(key, bi, bj, side, comp, rep, n, p*) in groups by (key, bi, bj): pairs of different components that may link.
+def wide_signatures(docs: DataFrame) -> DataFrame:
+    """docs(id, text) to rep and the packed bits of WIDE minima, for pairs that the short signature can't tell."""
 
-    Groups are runs of a sorted partition; runs of the same length are compared together.
-    """
-    limit = most_mismatches(percent)
-    names = ["key", "bi", "bj", "side", "comp", "rep", "n", *_P]
-
-    def compare(t: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-        i, j = np.triu_indices(size, 1)
-        found = []
-        for lo in range(0, len(start), step := max(1, 200_000 // len(i))):
-            base = start[lo : lo + step, None]
-            a, b = t[(base + i).ravel()], t[(base + j).ravel()]
-            # of two blocks, only pairs across them
-            ok = (a["comp"] != b["comp"]) & ((a["bi"] == a["bj"]) | (a["side"] != b["side"]))
-            ok &= 100 * np.minimum(a["n"], b["n"]) >= percent * np.maximum(a["n"], b["n"])
-            a, b = a[ok], b[ok]
-            x = [(a[p] ^ b[p]).view(np.uint64) for p in _P]
-            ok = np.bitwise_count(x[0] | x[2]) + np.bitwise_count(x[1] | x[3]) <= limit
-            found.append(np.stack([a["rep"][ok], b["rep"][ok]]))
-        return np.concatenate(found, axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [packed(minima(shingles(t), _FLIP_WIDE, _TIMES_WIDE)).tobytes() for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(found, pa.binary())], ["rep", "wide"])
+
+    return docs.mapInArrow(run, "rep long, wide binary")
+
+
+_LIGHT = ["key", "bi", "bj", "side", "comp", "rep", "n", *_P, "band"]
+
+
+class _Blocks:
+    """Rows of blocks in order; pairs(...) has those of different components that may link, each in its first common band only."""
+
+    def __init__(self, t: np.ndarray, bands: np.ndarray, wide: np.ndarray, percent: int) -> None:
+        self.t, self.bands, self.wide, self.percent = t, bands, wide, percent
+        self.limit, self.wide_limit = most_mismatches(percent), most_mismatches(percent, minima_=WIDE)
+
+    def _test(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = self.t
+        ok = (t["comp"][i] != t["comp"][j]) & ((t["bi"][i] == t["bj"][i]) | (t["side"][i] != t["side"][j]))
+        i, j = i[ok], j[ok]
+        ok = 100 * np.minimum(t["n"][i], t["n"][j]) >= self.percent * np.maximum(t["n"][i], t["n"][j])
+        i, j = i[ok], j[ok]
+        x = [(t[p][i] ^ t[p][j]).view(np.uint64) for p in _P]
+        ok = np.bitwise_count(x[0] | x[2]).astype(np.int64) + np.bitwise_count(x[1] | x[3]) <= self.limit
+        i, j = i[ok], j[ok]
+        for lo in range(0, len(i), 20_000):
+            a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
+            first = np.argmax(self.bands[a] == self.bands[b], axis=1) == t["band"][a]
+            a, b = a[first], b[first]
+            x = self.wide[a] ^ self.wide[b]
+            half = x.shape[1] // 2
+            near = np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1, dtype=np.int64) <= self.wide_limit
+            yield a[near], b[near]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        t = self.t
+        edge = np.flatnonzero(np.r_[True, (t["key"][1:] != t["key"][:-1]) | (t["bi"][1:] != t["bi"][:-1]) | (t["bj"][1:] != t["bj"][:-1])]) if len(t) else np.zeros(0, int)
+        size = np.diff(np.r_[edge, len(t)])
+        for n in np.unique(size[size > 1]).tolist():
+            start = edge[size == n]
+            for r0 in range(0, n - 1, slab := max(1, 200_000 // n)):  # some rows of a large group, all of small ones
+                i, j = np.triu_indices(min(slab, n - r0), 1, n - r0)
+                i, j = i + r0, j + r0
+                for lo in range(0, len(start), step := max(1, 200_000 // len(i))):
+                    base = start[lo : lo + step, None]
+                    yield from self._test((base + i).ravel(), (base + j).ravel())
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """rows(key, bi, bj, ..., bands, wide) in groups by (key, bi, bj), which are runs of a sorted partition: pairs a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([(c, np.int64) for c in names])
-        rest = np.zeros(0, kind)
+        kind = np.dtype([(c, np.int64) for c in _LIGHT])
+        rest = [np.zeros(0, kind), np.zeros((0, BANDS), np.int64), np.zeros((0, WIDE // 32), np.uint64)]
 
-        def emit(t: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero(np.r_[True, (t["key"][1:] != t["key"][:-1]) | (t["bi"][1:] != t["bi"][:-1]) | (t["bj"][1:] != t["bj"][:-1])]) if len(t) else np.zeros(0, int)
-            size = np.diff(np.r_[edge, len(t)])
-            got = [compare(t, edge[size == s], int(s)) for s in np.unique(size) if s > 1]
-            ab = np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ab)), pa.array(np.maximum(*ab))], ["a", "b"])
+        def emit(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i, j in _Blocks(*part, percent).pairs():
+                a, b = part[0]["rep"][i], part[0]["rep"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for b in batches:
             t = np.zeros(b.num_rows, kind)
-            for c in names:
+            for c in _LIGHT:
                 t[c] = b.column(c).to_numpy(zero_copy_only=False)
-            t = np.concatenate([rest, t])
+            bands = b.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+            wide = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 32)
+            whole = [np.concatenate(x) for x in zip(rest, (t, bands, wide), strict=True)]
+            t = whole[0]
             same = (t["key"] == t["key"][-1]) & (t["bi"] == t["bi"][-1]) & (t["bj"] == t["bj"][-1]) if len(t) else np.zeros(0, bool)
             cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
-            rest = t[cut:]
+            rest = [x[cut:] for x in whole]
             if cut:
-                yield emit(t[:cut])
-        yield emit(rest)
+                yield from emit([x[:cut] for x in whole])
+        yield from emit(rest)
 
-    keyed = rows.select(*(F.col(c).cast("long") for c in names)).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    keyed = rows.select(*(F.col(c).cast("long") for c in _LIGHT), "bands", "wide").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return keyed.mapInArrow(run, "a long, b long")
 
 
@@ -232,19 +284,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wide = signed.join(reps, ["s1", "s2", "n"], "left")
     sets = materialize(wide.select("id", "n", F.coalesce("rep", "id").alias("rep"), *(F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in [*_P, "bands"])), "sets")
     own = sets.where((F.col("id") == F.col("rep")) & (F.col("n") > 0))
-    rows = own.select("rep", F.explode("bands").alias("key"))
+    rows = own.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = materialize(rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
     stars = rows.join(buckets.select("key", "a"), "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     light = own.select("rep", "n", *_P)
     first = materialize(linked(materialize(_may_link(stars, light, percent), "may-link"), docs, percent), "linked")
     comps = materialize(connected_components(first), "components")
 
-    member = rows.join(buckets.select("key", "size"), "key").join(comps.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "size", "rep", F.coalesce("root", "rep").alias("comp"))
+    member = rows.join(buckets.select("key", "size"), "key").join(comps.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "band", "size", "rep", F.coalesce("root", "rep").alias("comp"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    there = member.join(mixed, "key").join(light, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spread = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = spread.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.col("own").alias("side"), "comp", "rep", "n", *_P)
-    more = materialize(_across(blocks, percent).distinct(), "across")
+    there = materialize(member.join(mixed, "key"), "mixed")
+    wide = wide_signatures(_with_text(there.select(F.col("rep").alias("id")).distinct(), docs).select("id", "text"))
+    signed_twice = materialize(own.select("rep", "n", *_P, "bands").join(wide, "rep"), "signed-twice")
+    sized = there.join(signed_twice, "rep").withColumn("blocks", F.ceil(F.col("size") / BITS_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = spread.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.col("own").alias("side"), "comp", "rep", "n", *_P, "band", "bands", "wide")
+    more = materialize(_across(blocks, percent), "across")
     if more.take(1):
         links = first.unionByName(materialize(linked(more, docs, percent), "linked"))
         comps = materialize(connected_components(links), "components")
