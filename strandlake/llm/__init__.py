@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, decontamination, embedding_dedup, line_dedup, minhash, packing, token_counts, url_filter
+from strandlake.llm import chat, decontamination, embedding_dedup, line_dedup, minhash, packing, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_decontamination": decontamination.op5_decontamination,
