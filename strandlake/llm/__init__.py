@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import chat, decontamination, embedding_dedup, line_dedup, minhash, packing, token_counts, toxicity, url_filter
+from strandlake.llm import chat, decontamination, embedding_dedup, html_extract, line_dedup, minhash, packing, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op6_html_extraction": html_extract.op6_html_extraction,
         "op7_packing": packing.op7_packing,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_url_filter": url_filter.op9_url_filter,
