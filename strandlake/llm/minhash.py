@@ -45,8 +45,10 @@ BLOCK = 256
 BITS_BLOCK = 1024
 #: Rows of ids that are broadcast to fetch their texts, 40 bytes each; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Parts that rows with one set are dealt into.
+SALTS = 32
 #: Words that a worker keeps with their hashes.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 _rng = np.random.default_rng(20240229)
 _FLIP, _TIMES = _rng.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32), _rng.integers(0, 1 << 31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -280,9 +282,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(id, text) to (id, n_shingles, component_id, rep): rep is the least document with the same set."""
     docs = docs.where("id IS NOT NULL")
     signed = materialize(signatures(docs), "signed")
-    reps = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    wide = signed.join(reps, ["s1", "s2", "n"], "left")
-    sets = materialize(wide.select("id", "n", F.coalesce("rep", "id").alias("rep"), *(F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in [*_P, "bands"])), "sets")
+    # only sets that occur again have to be looked up, over salts, as one of them may have a third of all rows
+    reps = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("s1", "s2", "n", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wide = signed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(reps, ["s1", "s2", "n", "salt"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    sets = materialize(wide.select("id", "n", "rep", *(F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in [*_P, "bands"])), "sets")
     own = sets.where((F.col("id") == F.col("rep")) & (F.col("n") > 0))
     rows = own.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = materialize(rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
@@ -310,6 +313,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents but for those whose component holds a lesser doc_id; rows without doc_id stay."""
     found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), percent)
     gone = materialize(found.where(F.col("component_id") != F.col("id")).select(F.col("id").alias("doc_id")), "copies")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
