@@ -14,8 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words that a worker keeps, about 100 MB, and characters that are taken in at once.
-MOST_WORDS = 400_000
+#: Words that a worker keeps, about 75 MB, and characters that are taken in at once.
+MOST_WORDS = 300_000
 CHARS_AT_ONCE = 1 << 20
 _LETTER = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ"
 _NUMBER = "0-9²³¹¼-¾"

@@ -3,7 +3,7 @@
 Words are compared by the gap-weighted subsequence kernel of length three: each three characters that stand in order within
 SPAN places count DECAY for each place that they skip, so that ``i.d.i.o.t`` and ``idxiot`` stay near ``idiot``. Bounded spans
 make the kernel an explicit sparse map, which is exact and needs no dynamic program for each pair. Landmarks are the
-substrings of words that labels favour most; a sentence has, for each landmark, the sum of its words' kernel values, which the
+substrings of words that labels favour most, one after another, each for words that those before leave unexplained; a sentence has, for each landmark, the sum of its words' kernel values, which the
 inverse square root of the landmarks' own kernel maps to Nyström features. The machine is trained on sentences: all of clean
 documents, and of each toxic one the sentence that looks worst at present, in rounds; toxic documents that no sentence explains
 are left out. A document's worst sentence, second-worst word, bad words together and length become a probability by a logistic
@@ -20,7 +20,9 @@ toxic, 1; repeated rows are scored each.
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,55 +31,78 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import table
+from strandlake.llm.minhash import shingles
 from strandlake.llm.token_ids import in_slices
 
 FOLDS = 5
 TRAIN_TOXIC, TRAIN_CLEAN = 1_600, 3_200
 #: Characters of one training document and of all; longer ones are not trained on, but scored like all others.
-TRAIN_DOC_CHARS, TRAIN_CHARS = 50_000, 12_000_000
-LANDMARKS, GRAMS = 64, (4, 5, 6)
+TRAIN_DOC_CHARS, TRAIN_CHARS = 50_000, 8_000_000
+LANDMARKS, CLEAN_LANDMARKS, GRAMS = 64, 24, (4, 5, 6)
 SPAN, DECAY = 5, 0.6
 WORD = 24
 #: Kernel values below this count as none; a landmark's own value is one.
-LEAST = 0.25
+LEAST = 0.45
+#: The kernel's power, a kernel again, which sets whole words apart from words that share a part.
+POWER = 3
 #: Log likelihood ratio that a landmark has at least, which about one in a million reaches by chance.
 LEAST_RATIO = 14.0
-ROUNDS, RIDGE = 3, 1.0
+#: Toxic documents, and their share, that hold a landmark.
+LEAST_DOCS, LEAST_SHARE = 3, 0.01
+#: Values of words nearer to 0 than this count as 0.
+LEAST_VALUE = 0.1
+ROUNDS, RIDGE = 3, 0.3
 #: Words that a worker keeps.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 FEATURES = 4
 
 _CODES = 64
-_code = np.full(0x180, 0, np.int64)
+# letters and digits have codes of their own; 1 is a mark: a word's end, white space or any other sign
+_code = np.ones(256, np.int64)
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
     _code[ord(_c)] = _i + 2
-for _c in range(0xC0, 0x180):
+for _c in (0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)):
     _code[_c] = 38 + _c % 26
-_code[ord("#")] = 1
+_alnum = _code > 1
+_space = np.zeros(256, bool)
+_space[[*range(9, 14), *range(28, 33), 0x85, 0xA0]] = True
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
-_EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "…«»“”‘’¿¡"
+_LETTER_LENGTH = 1
+_EDGE = "".join(chr(i) for i in range(33, 256) if _code[i] == 1 and not _space[i])
 #: (second, third) places of a subsequence after its first, and its weight.
 _PLACES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN + 1) for j in range(1, k)]
 
 
+def low(text: str | None) -> str:
+    """Lower-case; what is not Latin-1 becomes a question mark."""
+    return (text or "").lower().encode("latin-1", "replace").decode("latin-1")
+
+
 def parts_of(word: str) -> list[str]:
-    """The word without marks at its ends; a long one in overlapping parts."""
+    """The word without marks at its ends, and without those in it; a long one in overlapping parts."""
     word = word.strip(_EDGE)
     if len(word) <= WORD:
-        return [word]
+        return [word] if word.isalnum() or not (plain := "".join(filter(str.isalnum, word))) else [word, plain]
     return list(dict.fromkeys(word[i : i + WORD] for i in range(0, len(word) - WORD // 2, WORD // 2)))
 
 
+def spaced(text: str) -> list[str]:
+    """Words whose letters are set apart by blanks."""
+    return [m.replace(" ", "") for m in _SPACED.findall(text)]
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; letters that are set apart by blanks make one more."""
-    low = (text or "").lower()
-    return low.split() + [m.replace(" ", "") for m in _SPACED.findall(low)]
+    found = low(text).split()
+    if sum(map(_LETTER_LENGTH.__eq__, map(len, found))) > 3:
+        found.extend(spaced(low(text)))
+    return found
 
 
 def sentences(text: str | None) -> list[set[str]]:
     """The words of each sentence, which ends at a line's end or at a word that ends in . ! or ?"""
     out: list[set[str]] = []
-    for line in (text or "").lower().split("\n"):
+    for line in low(text).split("\n"):
         now: set[str] = set()
         for w in words_of(line):
             now.add(w)
@@ -92,12 +117,12 @@ def sentences(text: str | None) -> list[set[str]]:
 def encode(words: list[str], marks: bool = True) -> np.ndarray:
     """Codes of the words, with a mark at both ends if wanted; -1 after them."""
     size = np.fromiter(map(len, words), np.int64, len(words))
-    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = _code[np.frombuffer("".join(words).encode("latin-1"), np.uint8)]
     first = int(marks)
     out = np.full((len(words), (int(size.max()) if len(size) else 0) + 2 * first), -1, np.int64)
     row = np.repeat(np.arange(len(words)), size)
     at = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
-    out[row, at + first] = np.where(c < len(_code), _code[np.minimum(c, len(_code) - 1)], 0)
+    out[row, at + first] = c
     if marks:
         out[:, 0] = 1
         out[np.arange(len(words)), size + 1] = 1
@@ -127,11 +152,20 @@ def norms(f: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.sqrt((total**2).sum(axis=1)) + 1e-12
 
 
+def _shortest(size: np.ndarray) -> np.ndarray:
+    """What the norms of words of these sizes are at least: that of as many different subsequences."""
+    each = np.array([sum(w * w * max(0, n + 2 - k) for _, k, w in _PLACES) for n in range(WORD + 1)])
+    return np.sqrt(each)[size] + 1e-12
+
+
 class Kernel:
-    """The kernel of any words with fixed landmarks, normalised; values below LEAST are 0."""
+    """The kernel of any words with fixed landmarks, normalised; values below LEAST are 0.
 
-    def __init__(self, landmarks: list[str]) -> None:
-        self.landmarks = landmarks
+    Only words that resemble one of the first n_bad landmarks, those of toxic documents, have values.
+    """
+
+    def __init__(self, landmarks: list[str], n_bad: int | None = None) -> None:
+        self.landmarks, self.n_bad = landmarks, len(landmarks) if n_bad is None else n_bad
         f, w = subsequences(encode(landmarks, marks=False))  # a landmark may hold marks itself
         own = norms(f, w)
         used = np.unique(f[f >= 0])
@@ -141,8 +175,8 @@ class Kernel:
         for i in range(len(landmarks)):
             ok = f[i] >= 0
             np.add.at(self.table[:, i], self.row[f[i][ok]], w[ok] / own[i])
-        self.most = self.table.max(axis=1)
-        gram = (w @ self.table[self.row[f]]) / own[:, None]
+        self.most_of = self.table[:, : self.n_bad].max(axis=1)[self.row[:-1]].astype(np.float32)  # by number, at least 0
+        gram = ((w @ self.table[self.row[f]]) / own[:, None]) ** POWER
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         #: Kernel values to Nyström features.
         self.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
@@ -153,113 +187,226 @@ class Kernel:
         order, at, values = np.argsort(size, kind="stable"), [], []
         for lo in range(0, len(words), 8192):  # words of like length together
             part = order[lo : lo + 8192]
-            f, w = subsequences(encode([words[i] for i in part]))
-            rows = self.row[f]
-            length = np.sqrt((f >= 0) @ w**2) + 1e-12  # at most the norm, so that the bound holds
-            may = np.flatnonzero((self.most[rows] @ w) / length >= LEAST)
-            if len(may):
-                k = (w @ self.table[rows[may]]) / norms(f[may], w)[:, None]
+            codes = encode([words[i] for i in part])
+            for few in np.split(m := np.flatnonzero(self._may(codes, size[part])), range(2048, len(m), 2048)):
+                f, w = subsequences(codes[few])
+                rows = self.row[f]
+                i, j = np.nonzero(rows)  # few of a word's subsequences are any landmark's
+                if not len(i):
+                    continue
+                start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                k = np.zeros((len(few), len(self.landmarks)))
+                k[i[start]] = np.add.reduceat(self.table[rows[i, j]] * w[j, None], start)
+                near = np.flatnonzero((k[:, : self.n_bad] >= LEAST * _shortest(size[part[few]])[:, None]).any(axis=1))
+                k = k[near] / norms(f[near], w)[:, None]
                 k[k < LEAST] = 0
-                keep = k.any(axis=1)
-                at.append(part[may[keep]])
+                k **= POWER
+                keep = k[:, : self.n_bad].any(axis=1)
+                at.append(part[few[near[keep]]])
                 values.append(k[keep])
         return (np.concatenate(at), np.concatenate(values)) if at else (np.zeros(0, np.int64), np.zeros((0, len(self.landmarks))))
 
+    def _may(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the kernel of each word with some landmark can count, by a bound that is quick to tell."""
+        c = np.where(codes < 0, 0, codes).astype(np.int32)
+        n, bound = c.shape[1], np.zeros(len(c), np.float32)
+        for j, k, weight in _PLACES:
+            if k < n:
+                bound += self.most_of[(c[:, : n - k] * _CODES + c[:, j : n - k + j]) * _CODES + c[:, k:]].sum(axis=1) * np.float32(weight)
+        return bound >= np.float32(0.999 * LEAST) * _shortest(size)
+
+
+def suspects(texts: list[str], kernel: Kernel) -> list[tuple[int, list[str]]]:
+    """For each lower-case text its number of words and those occurrences whose kernel may count, in order.
+
+    One bound over all characters at once: the best that any landmark gives to each subsequence, summed by word. Triples that
+    reach over a word's end only raise it. Long words and words with marks in them, which are read in other forms too, and
+    letters set apart are always handed on.
+    """
+    flat = np.frombuffer((" " + " ".join(texts) + " " * (SPAN + 1)).encode("latin-1"), np.uint8)
+    c = _code[flat].astype(np.int32)
+    n, gain = len(flat), np.zeros(len(flat), np.float32)
+    for j, k, weight in _PLACES:
+        gain[: n - k] += kernel.most_of[(c[: n - k] << 12) + (c[j : n - k + j] << 6) + c[k:]] * np.float32(weight)
+    space, sign = _space[flat], ~_alnum[flat]
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    edges = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    cuts = np.searchsorted(start, edges)
+    if not len(start):
+        return [(0, [])] * len(texts)
+    letters = np.add.reduceat((~sign).astype(np.int64), start - 1)
+    inner = np.add.reduceat((sign[1:-1] & ~space[1:-1] & ~sign[:-2] & ~sign[2:]).astype(np.int64), np.maximum(start - 1, 0))
+    bound = np.add.reduceat(gain, start - 1)
+    may = (bound >= np.float32(0.99 * LEAST) * _shortest(np.minimum(letters, WORD))) & (letters > 1) | (inner > 0) | (end - start > WORD)
+    out = []
+    for t, text in enumerate(texts):
+        lo, hi, base = cuts[t], cuts[t + 1], edges[t]
+        at = np.flatnonzero(may[lo:hi]) + lo
+        found = [text[a:b] for a, b in zip((start[at] - base).tolist(), (end[at] - base).tolist(), strict=True)]
+        apart = spaced(text) if ((end[lo:hi] - start[lo:hi]) == 1).sum() > 3 else []
+        out.append((int(hi - lo) + len(apart), found + apart))
+    return out
+
 
 class Lexicon:
-    """Words that a process has met, and the kernel values of those few that have any."""
+    """Words that a process has met, and what those few say that say anything: kernel values, or with coefficients one number."""
 
-    def __init__(self, kernel: Kernel) -> None:
-        self.kernel = kernel
+    def __init__(self, kernel: Kernel, coefficient: np.ndarray | None = None) -> None:
+        self.kernel, self.coefficient = kernel, coefficient
         self.known: set[str] = set()
-        self.matched: dict[str, np.ndarray] = {}
+        self.matched: dict[str, np.ndarray | float] = {}
+        self.bad: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
         new = list(words - self.known)
         if len(self.known) + len(new) > MOST_WORDS and self.known:
-            self.known, self.matched = set(), {}
+            self.known, self.matched, self.bad = set(), {}, set()
             new = list(words)
         for lo in range(0, len(new), 65536):
             some = new[lo : lo + 65536]
             parts = [(i, p) for i, w in enumerate(some) for p in parts_of(w)]
             at, k = self.kernel([p for _, p in parts])
+            best: dict[str, np.ndarray] = {}
             for j, row in zip(at.tolist(), k, strict=True):
                 w = some[parts[j][0]]
-                self.matched[w] = np.maximum(self.matched[w], row) if w in self.matched else row
+                best[w] = np.maximum(best[w], row) if w in best else row
+            if self.coefficient is None:
+                self.matched |= best
+            elif best:
+                said = settled(np.array(list(best.values())) @ self.coefficient)
+                self.matched.update((w, g) for w, g in zip(best, said.tolist(), strict=True) if g)
+                self.bad.update(w for w, g in zip(best, said.tolist(), strict=True) if g > 0)
         self.known.update(new)
 
-    def pooled(self, found: list[set[str]]) -> np.ndarray:
-        """Summed kernel values of those sentences that have any match; all words must be known."""
-        out = [np.sum([self.matched[w] for w in sorted(hit)], axis=0) for s in found if (hit := s & self.matched.keys())]
-        return np.array(out).reshape(len(out), len(self.kernel.landmarks))
+    def values(self, words: list[str]) -> np.ndarray:
+        return np.array([self.matched[w] for w in words]).reshape(len(words), len(self.kernel.landmarks))
+
+
+def settled(value: np.ndarray) -> np.ndarray:
+    """Words' values, of which small ones count as none."""
+    return np.where(np.abs(value) < LEAST_VALUE, 0.0, value)
 
 
 class Sample:
-    """The training documents: their sentences, and all substrings of their words, hashed once for all folds."""
+    """The training documents as numbers of words, and the substrings of their words, counted once for all folds."""
 
     def __init__(self, texts: list[str | None], toxic: list[int]) -> None:
         self.toxic = np.array(toxic, np.int64)
-        self.found = [sentences(t) for t in texts]
-        self.bags = [set().union(*d) for d in self.found]
         number: dict[str, int] = {}
-        self.ids = [np.array(sorted({number.setdefault(p, len(number)) for w in d for p in parts_of(w) if len(p) > 2}), np.int64) for d in self.bags]
-        self.vocabulary = list(number)
-        codes = encode(self.vocabulary)
-        self.grams = {}
-        for n in GRAMS:
-            h = _hashes(codes, n)
-            word, place = np.nonzero(h >= 0)
-            self.grams[n] = (word.astype(np.int32), place.astype(np.int8), h[word, place].astype(np.int32))
+        self.found: list[list[np.ndarray]] = []
+        self.size, self.bags = np.zeros(len(texts), np.int64), []
+        for i, t in enumerate(texts):
+            self.found.append([np.array(sorted(number.setdefault(w, len(number)) for w in s), np.int32) for s in sentences(t)])
+            all_ = words_of(t)
+            self.size[i] = len(all_)
+            self.bags.append(np.unique(np.array([number[w] for w in all_], np.int32), return_counts=True))
+        self.words = list(number)
+        del number
+        self.bags, self.times = [b for b, _ in self.bags], [t for _, t in self.bags]
+        held = np.bincount(np.concatenate([np.zeros(0, np.int32), *self.bags]), minlength=len(self.words))
+        self.grams = {n: self._substrings(n, held) for n in GRAMS}
+
+    def _substrings(self, n: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Numbers of words and of their substrings that enough documents hold, and these."""
+        words, hashes, places = [], [], []
+        for lo in range(0, len(self.words), 32_768):
+            parts = [(i, p) for i in range(lo, min(lo + 32_768, len(self.words))) for p in parts_of(self.words[i]) if len(p) > 2]
+            h = _hashes(encode([p for _, p in parts]), n)
+            row, place = np.nonzero(h)
+            words.append(np.array([i for i, _ in parts], np.int32)[row])
+            hashes.append(h[row, place])
+            places.append(place.astype(np.int32))
+        if not hashes:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), []
+        word, h, place = np.concatenate(words), np.concatenate(hashes), np.concatenate(places)
+        order = np.lexsort((word, h))
+        word, h, place = word[order], h[order], place[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (word[1:] != word[:-1])]  # a word counts once
+        word, h, place = word[once], h[once], place[once]
+        start = np.r_[True, h[1:] != h[:-1]]
+        gram = np.cumsum(start) - 1
+        enough = np.bincount(gram, held[word]) >= LEAST_DOCS
+        keep = enough[gram]
+        new = np.cumsum(enough) - 1
+        first = np.flatnonzero(start & keep)
+        names = []
+        for w, at in zip(word[first].tolist(), place[first].tolist(), strict=True):
+            # a place counts from the mark of the part; a long word's parts overlap, so that one of them has it
+            names.append(next((g for p in parts_of(self.words[w]) if len(g := f"#{p}#"[at : at + n]) == n), ""))
+        return word[keep], new[gram[keep]].astype(np.int32), names
 
     def landmarks(self, inside: np.ndarray, most: int = LANDMARKS) -> list[str]:
         """Substrings of words that toxic documents hold more often than by chance, best first by their likelihood ratio."""
-        size = len(self.vocabulary)
-        held = {t: [self.ids[i] for i in inside if self.toxic[i] == t] for t in (0, 1)}
-        df = {t: np.bincount(np.concatenate(x), minlength=size).astype(float) if x else np.zeros(size) for t, x in held.items()}
-        scored: list[tuple[float, str]] = []
-        for n, (word, place, h) in self.grams.items():
-            pos, neg = (np.bincount(h, df[t][word], minlength=1 << GRAM_BITS) for t in (1, 0))
+        held = {t: [self.bags[i] for i in inside if self.toxic[i] == t] for t in (0, 1)}
+        df = {t: np.bincount(np.concatenate([np.zeros(0, np.int32), *x]), minlength=len(self.words)).astype(float) for t, x in held.items()}
+
+        def ratios(word: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+            pos, neg = (np.bincount(gram, df[t][word], minlength=n) for t in (1, 0))
             rate1, rate0 = (pos + 0.1) / len(held[1]), (neg + 0.1) / len(held[0])
-            z = np.where(rate1 > 4 * rate0, pos * np.log(rate1 / rate0) - len(held[1]) * (rate1 - rate0), 0)
-            z[z < LEAST_RATIO] = 0
+            return np.where((rate1 > 4 * rate0) & (pos >= LEAST_SHARE * len(held[1])), pos * np.log(rate1 / rate0) - len(held[1]) * (rate1 - rate0), 0)
+
+        words, grams, names = [], [], []
+        for word, gram, of in self.grams.values():
+            z = ratios(word, gram, len(of))
             best = np.argsort(-z, kind="stable")[: 8 * most]
-            wanted = np.zeros(1 << GRAM_BITS, bool)
-            wanted[best[z[best] > 0]] = True
-            seen: dict[tuple[int, str], float] = {}
-            for i in np.flatnonzero(wanted[h]).tolist():
-                padded = "#" + self.vocabulary[word[i]] + "#"
-                g = padded[place[i] : place[i] + n]
-                seen[int(h[i]), g] = seen.get((int(h[i]), g), 0) + df[1][word[i]]
-            top: dict[int, tuple[float, str]] = {}
-            for (k, g), c in seen.items():  # of strings with one hash, the one that toxic documents hold
-                top[k] = max(top.get(k, (-1.0, "")), (c, g))
-            scored.extend((float(z[k]), g) for k, (_, g) in top.items())
+            best = best[z[best] >= LEAST_RATIO]
+            number = np.full(len(of), -1)
+            number[best] = np.arange(len(best)) + len(names)
+            keep = number[gram] >= 0
+            words.append(word[keep])
+            grams.append(number[gram[keep]])
+            names.extend(of[k] for k in best)
+        word, gram = np.concatenate(words), np.concatenate(grams)
         chosen: list[str] = []
-        for _, g in sorted(scored, key=lambda x: (-x[0], -len(x[1]), x[1])):
-            if len(chosen) == most:
+        while len(chosen) < most and names:
+            z = ratios(word, gram, len(names))
+            best = max(range(len(names)), key=lambda k: (z[k], len(names[k]), names[k]))
+            if z[best] < LEAST_RATIO:
                 break
-            if not any(_overlap(g, c) for c in chosen):
-                chosen.append(g)
+            if names[best]:
+                chosen.append(names[best])
+            explained = word[gram == best]  # words that a landmark is in say nothing for another
+            most_of = explained[np.argmax(df[1][explained])]
+            if names[best] and df[1][most_of] > 0.9 * df[1][explained].sum() and len(self.words[most_of]) <= WORD:
+                chosen[-1] = f"#{parts_of(self.words[most_of])[-1]}#"
+            for t in (0, 1):
+                df[t][explained] = 0
         return chosen
 
-
-GRAM_BITS = 22
+    def confused(self, inside: np.ndarray, kernel: Kernel, most: int = CLEAN_LANDMARKS) -> list[str]:
+        """Words of clean documents that landmarks resemble: more landmarks, from which the machine learns what not to mind."""
+        row, values = self.values(kernel)
+        df = {t: np.bincount(np.concatenate([np.zeros(0, np.int32), *(self.bags[i] for i in inside if self.toxic[i] == t)]), minlength=len(self.words)) for t in (0, 1)}
+        toxic = self.toxic[inside].sum()
+        share = (df[1] + 0.5) / (toxic + 1) / ((df[0] + 0.5) / (len(inside) - toxic + 1))
+        like = values.max(axis=1)[row]
+        at = np.flatnonzero((like >= 0.2) & (df[0] >= 2) & (share < 2))
+        best = at[np.argsort(-(df[0] * like)[at], kind="stable")]
+        found = (parts_of(self.words[i])[0] for i in best.tolist())
+        return list(dict.fromkeys(f"#{w}#" for w in found if w))[:most]
+
+    def values(self, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the row of its kernel values, and these; row 0 is of words without any."""
+        row, values = np.zeros(len(self.words), np.int32), [np.zeros((1, len(kernel.landmarks)))]
+        for lo in range(0, len(self.words), 65_536):
+            lexicon = Lexicon(kernel)
+            some = self.words[lo : lo + 65_536]
+            lexicon.learn(set(some))
+            at = [i for i, w in enumerate(some) if w in lexicon.matched]
+            row[np.array(at, np.int64) + lo] = np.arange(len(at)) + sum(map(len, values))
+            values.append(lexicon.values([some[i] for i in at]))
+        return row, np.concatenate(values)
 
 
 def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """A number of GRAM_BITS bits for each run of n codes of each word; -1 where the word ends."""
+    """A number for each run of n codes of each word; 0 where the word ends."""
     m = max(0, codes.shape[1] - n + 1)
     h = np.zeros((len(codes), m), np.uint64)
     for j in range(n):
         h = (h ^ (codes[:, j : j + m].astype(np.uint64) + np.uint64(n))) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.where(codes[:, n - 1 : n - 1 + m] < 0, -1, ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
-
-
-def _overlap(a: str, b: str) -> bool:
-    """Whether one holds all but an end character of the other, so that both say the same."""
-    short, long_ = sorted((a, b), key=len)
-    return short[1:] in long_ or short[:-1] in long_
+    return np.where(codes[:, n - 1 : n - 1 + m] < 0, np.uint64(0), h | np.uint64(1))
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -279,17 +426,19 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RID
 class Model:
     """landmarks, the coefficients over kernel values (Nyström map included), the offset, and the logistic curve over features."""
 
-    def __init__(self, landmarks: list[str], coefficient: np.ndarray, offset: float) -> None:
-        self.landmarks, self.coefficient, self.offset = landmarks, coefficient, offset
+    def __init__(self, landmarks: list[str], n_bad: int, coefficient: np.ndarray, offset: float) -> None:
+        self.landmarks, self.n_bad, self.coefficient, self.offset = landmarks, n_bad, coefficient, offset
         self.slope, self.shift = np.zeros(FEATURES), 0.0
 
-    def features(self, lexicon: Lexicon, text: str | None, n_words: int, bag: set[str]) -> np.ndarray:
-        """The worst sentence, the second-worst word, all bad words together, and the length; all words must be known."""
-        hit = sorted(bag & lexicon.matched.keys())
+    def features(self, bad: list[float] | np.ndarray, times: list[int] | np.ndarray, sentences_: list[float], n_words: int) -> np.ndarray:
+        """The worst sentence, the second-worst word, all bad words together, and the length.
+
+        bad: positive values of words; times: how often each occurs; sentences_: summed values of sentences with any of them.
+        """
         out = np.array([self.offset, 0.0, 0.0, np.log1p(n_words)])
-        if hit:
-            word = np.sort(np.maximum(np.array([lexicon.matched[w] for w in hit]) @ self.coefficient, 0))
-            out[0] = max(self.offset, float((lexicon.pooled(sentences(text)) @ self.coefficient).max()) + self.offset)
+        if len(bad):
+            word = np.sort(np.repeat(np.asarray(bad, float), np.minimum(times, 2)))
+            out[0] += max([0.0, *sentences_])
             out[1:3] = word[-2] if len(word) > 1 else 0.0, np.minimum(word, 2.0).sum()
         return out
 
@@ -298,30 +447,36 @@ class Model:
 
 
 def constant(score: float) -> Model:
-    model = Model([], np.zeros(0), 0.0)
+    model = Model([], 0, np.zeros(0), 0.0)
     model.shift = 1e9 if score else -1e9
     return model
 
 
+def _pooled(found: list[np.ndarray], row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Summed kernel values of those sentences that have any match."""
+    hits = [r[r > 0] for r in (row[s] for s in found)]
+    return np.array([values[h].sum(axis=0) for h in hits if len(h)]).reshape(-1, values.shape[1])
+
+
 def _train(sample: Sample, inside: np.ndarray) -> Model:
     """A model without its curve."""
     landmarks = sample.landmarks(inside)
     if not landmarks:
-        return Model([], np.zeros(0), 0.0)
-    lexicon = Lexicon(Kernel(landmarks))
-    root = lexicon.kernel.root
+        return Model([], 0, np.zeros(0), 0.0)
+    n_bad = len(landmarks)
+    landmarks += [w for w in sample.confused(inside, Kernel(landmarks)) if w not in landmarks]
+    kernel = Kernel(landmarks, n_bad)
+    root, (row, values) = kernel.root, sample.values(kernel)
     clean, bad, silent = [np.zeros((1, len(landmarks)))], [], 1
-    for at, i in enumerate(inside.tolist()):
-        if not at % 256:
-            lexicon.learn(set().union(*(sample.bags[k] for k in inside[at : at + 256])))
-        pooled = lexicon.pooled(sample.found[i])
+    for i in inside.tolist():
+        pooled = _pooled(sample.found[i], row, values)
         if not sample.toxic[i]:
             clean.append(pooled)
             silent += len(sample.found[i]) - len(pooled)
         elif len(pooled):
             bad.append(pooled)
     if not bad:
-        return Model([], np.zeros(0), 0.0)
+        return Model([], 0, np.zeros(0), 0.0)
     x0 = np.concatenate(clean) @ root
     weight = np.ones(len(x0))
     weight[0] = max(1, silent)  # all sentences without a match are the same
@@ -334,7 +489,7 @@ def _train(sample: Sample, inside: np.ndarray) -> Model:
         coefficient = fit_svm(x, y, np.r_[weight, np.ones(len(picked))])
         near = [p @ coefficient[:-1] + coefficient[-1] for p in bad]
         picked = [p[np.argmax(v)] for p, v in zip(bad, near, strict=True) if v.max() > 0] or picked
-    return Model(landmarks, root @ coefficient[:-1], float(coefficient[-1]))
+    return Model(landmarks, n_bad, root @ coefficient[:-1], float(coefficient[-1]))
 
 
 def _curve(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
@@ -354,7 +509,22 @@ def _curve(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
+def _apart(texts: list[str | None]) -> list[int]:
+    """Indices of texts without those that are likely near copies of one before, whose words would count many times over."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i, t in enumerate(texts):
+        s = shingles((t or "").encode("utf-8", "replace"))
+        keys = {(k, int((s * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min())) for k in range(4)} if len(s) else set()
+        if not keys & seen:
+            kept.append(i)
+        seen |= keys
+    return kept
+
+
 def train(texts: list[str | None], toxic: list[int], folds: int = 3) -> Model:
+    some = _apart(texts)
+    texts, toxic = [texts[i] for i in some], [toxic[i] for i in some]
     if len(set(toxic)) < 2:
         return constant(1.0 if toxic and toxic[0] else 0.0)
     sample = Sample(texts, toxic)
@@ -364,13 +534,12 @@ def train(texts: list[str | None], toxic: list[int], folds: int = 3) -> Model:
     x = np.zeros((len(y), FEATURES))
     for k in range(folds):
         model = _train(sample, np.flatnonzero(fold != k))
-        lexicon = Lexicon(Kernel(model.landmarks)) if model.landmarks else None
-        outside = np.flatnonzero(fold == k)
-        for at, i in enumerate(outside.tolist()):
-            if lexicon:
-                if not at % 256:
-                    lexicon.learn(set().union(*(sample.bags[j] for j in outside[at : at + 256])))
-                x[i] = model.features(lexicon, texts[i], len(words_of(texts[i])), sample.bags[i])
+        if model.landmarks:
+            row, values = sample.values(Kernel(model.landmarks, model.n_bad))
+            value = settled(values @ model.coefficient)[row]
+            for i in np.flatnonzero(fold == k).tolist():
+                own = value[sample.bags[i]]
+                x[i] = model.features(own[own > 0], sample.times[i][own > 0], [value[s].sum() for s in sample.found[i]], int(sample.size[i]))
     model = _train(sample, np.arange(len(y)))
     model.slope, model.shift = _curve(x, y)
     return model if model.landmarks else constant(0.0)
@@ -388,24 +557,52 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     sample = by_doc.where("toxic = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(by_doc.where("toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
     size = F.coalesce(F.length("text"), F.lit(0))
     chosen = docs.where(size <= TRAIN_DOC_CHARS).select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in chosen.collect())  # bounded by the sample's parameters
+    once = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    made = once.repartition(1).mapInArrow(_train_batches, "model binary").collect()
+    return pickle.loads(bytes(made[0]["model"])) if made else constant(0.0)
+
+
+def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sample, which its parameters bound, in one task; the driver gets the model only."""
+    rows = sorted((i, y, t or "") for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
     total, kept = 0, []
     for k in np.random.default_rng(5).permutation(len(rows)).tolist():
         if total + len(rows[k][2]) <= TRAIN_CHARS:
             total += len(rows[k][2])
             kept.append(rows[k])
     kept.sort()
-    return train([t for _, _, t in kept], [y for _, y, _ in kept])
+    model = train([t for _, _, t in kept], [y for _, y, _ in kept])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+_lexicons: dict[str, Lexicon] = {}
+
+
+def _lexicon(model: Model) -> Lexicon:
+    """Of this process, whatever the number of its tasks; that of another model goes."""
+    key = repr((model.landmarks, model.coefficient.tolist()))
+    if key not in _lexicons:
+        _lexicons.clear()
+        _lexicons[key] = Lexicon(Kernel(model.landmarks, model.n_bad), model.coefficient)
+    return _lexicons[key]
 
 
 def _scorer(model: Model):
-    lexicon = Lexicon(Kernel(model.landmarks)) if model.landmarks else None
+    lexicon = _lexicon(model) if model.landmarks else None
+
+    def one(text: str, n_words: int, found: list[str]) -> np.ndarray:
+        times = Counter(w for w in found if w in lexicon.bad)
+        if not times:
+            return model.features([], [], [], n_words)
+        said = lexicon.matched
+        sums = [sum(said.get(w, 0.0) for w in sorted(s)) for s in sentences(text) if not times.keys().isdisjoint(s)]
+        return model.features([said[w] for w in sorted(times)], [times[w] for w in sorted(times)], sums, n_words)
 
     def some(texts: list[str | None]) -> np.ndarray:
-        found = [words_of(t) for t in texts]
-        bags = [set(w) for w in found]
-        lexicon.learn(set().union(*bags))
-        return model.probability(np.array([model.features(lexicon, t, len(w), b) for t, w, b in zip(texts, found, bags, strict=True)]))
+        plain = [low(t) for t in texts]
+        found = suspects(plain, lexicon.kernel)
+        lexicon.learn({w for _, f in found for w in f})
+        return model.probability(np.array([one(t, n, f) for t, (n, f) in zip(plain, found, strict=True)]))
 
     def score(texts: list[str | None]) -> np.ndarray:
         if lexicon is None:
