@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_keeper: list[tuple[str, Callable[[], None]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_in_worker(name: str, release: Callable[[], None]) -> None:
+    """Called by a task before it keeps anything for later tasks of its process: what another operator has kept there goes first.
+
+    Workers serve one stage after another, so that what all of them keep would add up; freed memory is given back.
+    """
+    if _keeper and _keeper[0][0] != name:
+        _keeper.pop()[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    if not _keeper:
+        _keeper.append((name, release))

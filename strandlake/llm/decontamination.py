@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize, table
+from strandlake.llm.common import keep_in_worker, materialize, table
 
 WINDOW = 13
 #: Characters of benchmark text for one automaton, about 0.5 GB of it at worst.
@@ -102,6 +102,7 @@ def _scanned(docs: DataFrame, items: list[tuple[int, bytes | None]]) -> DataFram
     given = docs.sparkSession.sparkContext.broadcast(item_windows(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_in_worker("decontamination", lambda: None)
         found = automaton(given.value)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
@@ -162,6 +163,7 @@ def _kept(docs: DataFrame, windows) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_in_worker("decontamination", lambda: None)
         found = automaton(windows.value)
         for b in batches:
             clean = []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import materialize, scratch, table
+from strandlake.llm.common import keep_in_worker, materialize, scratch, table
 
 BLANK = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -54,6 +54,7 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each document and distinct long key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_in_worker("lines", lambda: None)
         digest = xxhash.xxh3_128_digest
         for b in batches:
             ids, found, owner = b.column(0).to_pylist(), [], []

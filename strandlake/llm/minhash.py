@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import materialize, table
+from strandlake.llm.common import keep_in_worker, materialize, table
 from strandlake.llm.components import connected_components
 from strandlake.llm.line_dedup import LOWER
 
@@ -47,8 +47,6 @@ BITS_BLOCK = 1024
 BROADCAST_IDS = 1_000_000
 #: Parts that rows with one set are dealt into.
 SALTS = 32
-#: Words that a worker keeps with their hashes.
-MOST_WORDS = 300_000
 
 _rng = np.random.default_rng(20240229)
 _FLIP, _TIMES = _rng.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32), _rng.integers(0, 1 << 31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -64,23 +62,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     found = (text or b"").translate(LOWER).split()
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     n = min(WORDS, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -124,6 +111,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """docs(id, text) to set size, a 128-bit hash of the whole set, packed minima and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_in_worker("minhash", lambda: None)
         for b in batches:
             rows, bands = [], []
             for text in b.column(1).cast(pa.large_binary()).to_pylist():

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from strandlake.llm.common import keep_in_worker
+
 #: Words that a worker keeps, about 75 MB, and characters that are taken in at once.
 MOST_WORDS = 300_000
 CHARS_AT_ONCE = 1 << 20
@@ -116,6 +118,7 @@ class PartTokenizer:
 
 
 def part_tokenizer(path: str, special_as_text: bool = False) -> PartTokenizer:
+    keep_in_worker("token ids", _loaded.clear)
     key = (path, special_as_text)
     if key not in _loaded:
         _loaded[key] = PartTokenizer(path, special_as_text)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import table
+from strandlake.llm.common import keep_in_worker, table
 from strandlake.llm.minhash import shingles
 from strandlake.llm.token_ids import in_slices
 
@@ -564,6 +564,7 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole sample, which its parameters bound, in one task; the driver gets the model only."""
+    keep_in_worker("toxicity training", lambda: None)
     rows = sorted((i, y, t or "") for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
     total, kept = 0, []
     for k in np.random.default_rng(5).permutation(len(rows)).tolist():
@@ -580,6 +581,7 @@ _lexicons: dict[str, Lexicon] = {}
 
 def _lexicon(model: Model) -> Lexicon:
     """Of this process, whatever the number of its tasks; that of another model goes."""
+    keep_in_worker("toxicity", _lexicons.clear)
     key = repr((model.landmarks, model.coefficient.tolist()))
     if key not in _lexicons:
         _lexicons.clear()
