@@ -5,8 +5,8 @@ SPAN places count DECAY for each place that they skip, so that ``i.d.i.o.t`` and
 make the kernel an explicit sparse map, which is exact and needs no dynamic program for each pair. Landmarks are the
 substrings of words that labels favour most, one after another, each for words that those before leave unexplained; a sentence has, for each landmark, the sum of its words' kernel values, which the
 inverse square root of the landmarks' own kernel maps to Nyström features. The machine is trained on sentences: all of clean
-documents, and of each toxic one the sentence that looks worst at present, in rounds; toxic documents that no sentence explains
-are left out. A document's worst sentence, second-worst word, bad words together and length become a probability by a logistic
+documents, and of toxic ones those that resemble landmarks, of which the machine's own doubts sort out some in rounds; toxic
+documents that no sentence explains are left out. A document's worst sentence, second-worst word, bad words together and length become a probability by a logistic
 curve, which is fitted on documents that took no part in training (cross-fitting).
 
 The training sample is bounded by TRAIN_TOXIC, TRAIN_CLEAN and TRAIN_CHARS, whatever the size of the tables; rows for it are
@@ -47,6 +47,8 @@ LEAST = 0.45
 POWER = 3
 #: Log likelihood ratio that a landmark has at least, which about one in a million reaches by chance.
 LEAST_RATIO = 14.0
+#: Kernel values with landmarks that make a sentence of a toxic document an example, in all.
+LIKE = 0.5
 #: Toxic documents, and their share, that hold a landmark.
 LEAST_DOCS, LEAST_SHARE = 3, 0.01
 #: Values of words nearer to 0 than this count as 0.
@@ -481,14 +483,17 @@ def _train(sample: Sample, inside: np.ndarray) -> Model:
     weight = np.ones(len(x0))
     weight[0] = max(1, silent)  # all sentences without a match are the same
     weight *= 4 * len(bad) / weight.sum()
-    picked = [p[np.argmax(p.sum(axis=1))] @ root for p in bad]
-    bad = [p @ root for p in bad]
-    for _ in range(ROUNDS):
-        x = np.concatenate([x0, picked])
-        y = np.r_[-np.ones(len(x0)), np.ones(len(picked))]
-        coefficient = fit_svm(x, y, np.r_[weight, np.ones(len(picked))])
-        near = [p @ coefficient[:-1] + coefficient[-1] for p in bad]
-        picked = [p[np.argmax(v)] for p, v in zip(bad, near, strict=True) if v.max() > 0] or picked
+    # all sentences of a toxic document that resemble a landmark are its examples, of one weight together; the worst alone would
+    # be the same few words' over and over
+    like = [p[:, :n_bad].sum(axis=1) for p in bad]
+    picked = [(p @ root)[(v >= LIKE) | (v == v.max())] for p, v in zip(bad, like, strict=True)]
+    for k in range(ROUNDS):
+        x, share = np.concatenate([x0, *picked]), np.concatenate([np.full(len(p), 1 / len(p)) for p in picked])
+        y = np.r_[-np.ones(len(x0)), np.ones(len(share))]
+        coefficient = fit_svm(x, y, np.r_[weight, share])
+        near = [p @ coefficient[:-1] + coefficient[-1] for p in picked]
+        # examples that the machine doesn't believe are left out, and at last documents without any other
+        picked = [p[v > 0] if (v > 0).any() else p for p, v in zip(picked, near, strict=True) if k < ROUNDS - 2 or (v > 0).any()] or picked
     return Model(landmarks, n_bad, root @ coefficient[:-1], float(coefficient[-1]))
 
 
