@@ -27,4 +27,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_decontamination": decontamination.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op3_minhash_dedup": minhash.ORACLE,
+        "op4_chat_formatting": chat.ORACLE,
+        "op5_decontamination": decontamination.ORACLE,
+        "op10_embedding_dedup": embedding_dedup.ORACLE,
+    }
