@@ -47,6 +47,18 @@ def plain(text: str) -> bool:
     return "<|" not in text
 
 
+class Numbers(dict):
+    """Words in order of appearance; an unknown one gets the next number and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class PartTokenizer:
     """special_as_text: the strings of special tokens in a text are ordinary text and never give their ids."""
 
@@ -66,19 +78,22 @@ class PartTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.used = 0
 
-    def _learn(self, parts: set[str]) -> None:
-        """parts: those that a text needs and that are not known."""
-        new = list(parts)
+    def _places(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+
+    def _learn(self) -> None:
+        """Takes in the words that were looked up in vain."""
+        new = self.index.new
         ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(new):
             raise ValueError("words and word ends differ")
         size = np.diff(last, prepend=-1)
-        n, total = len(self.index), len(ids)
+        n, total = len(self.index) - len(new), len(ids)
         while len(self.start) < n + len(new):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
         while len(self.ids) < self.used + total:
@@ -87,7 +102,7 @@ class PartTokenizer:
         self.size[n : n + len(new)] = size
         self.start[n : n + len(new)] = self.used + last + 1 - size
         self.used += total
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        self.index.new = []
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -99,13 +114,12 @@ class PartTokenizer:
         easy = [t is not None and plain(t) for t in texts]
         parts = [_PARTS.findall(t.lower()) if e else [] for t, e in zip(texts, easy, strict=True)]
         flat = [p for x in parts for p in x]
-        missing = set(flat) - self.index.keys()
-        if missing:
-            if len(self.index) + len(missing) > MOST_WORDS and self.index:
-                self._clear()
-                missing = set(flat)
-            self._learn(missing)
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        at = self._places(flat)
+        if len(self.index) > MOST_WORDS and len(self.index) > len(self.index.new):
+            self._clear()
+            at = self._places(flat)
+        if self.index.new:
+            self._learn()
         size = self.size[at]
         upto = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[at] - (upto - size), size) + np.arange(int(size.sum()))]
