@@ -32,6 +32,8 @@ MIN_DOCS = 3
 KEYS_PER_SHARD = 50_000
 #: The filters of all shards are broadcast up to this size; beyond it lines go straight to the exact join.
 FILTER_BYTES = 64 << 20
+#: Share of a filter's cells beyond which inserts rebuild it with more room.
+MOST_LOAD = 0.8
 
 LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "h1", "h2")])
 
@@ -166,12 +168,17 @@ class CuckooFilter:
 def filter_shards(repeated: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     """A cuckoo filter for each shard of the repeated keys; a shard holds about KEYS_PER_SHARD of them, whatever their number."""
     shards = 1 << max(0, int(np.ceil(np.log2(max(1, n_keys) / KEYS_PER_SHARD))))
+    return _built(repeated.select("h1", "h2", F.col("h1").bitwiseAND(F.lit(shards - 1)).alias("shard"))), shards
+
+
+def _built(keyed: DataFrame) -> DataFrame:
+    """A filter for each shard of keyed(h1, h2, shard)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         made = CuckooFilter.of(pdf["h1"].to_numpy(), pdf["h2"].to_numpy())
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "cells": [made.dump()]})
 
-    return repeated.select("h1", "h2", F.col("h1").bitwiseAND(F.lit(shards - 1)).alias("shard")).groupBy("shard").applyInPandas(build, "shard long, cells binary"), shards
+    return keyed.groupBy("shard").applyInPandas(build, "shard long, cells binary")
 
 
 def probable(lines: DataFrame, shards: DataFrame, n_shards: int, n_keys: int) -> DataFrame:
@@ -264,10 +271,11 @@ class LineIndex:
         if self.n_shards * KEYS_PER_SHARD * 2 < n_keys or not self.shards.take(1):
             shards, self.n_shards = filter_shards(now, n_keys)
         else:
-            shards = self._edit(now.exceptAll(was).withColumn("up", F.lit(True)).unionByName(was.exceptAll(now).withColumn("up", F.lit(False))))
+            shards = self._edit(now.exceptAll(was).withColumn("up", F.lit(True)).unionByName(was.exceptAll(now).withColumn("up", F.lit(False))), now)
         self.shards, self.lines, self.refs = materialize(shards, "index-filters"), lines, refs
 
-    def _edit(self, changes: DataFrame) -> DataFrame:
+    def _edit(self, changes: DataFrame, repeated: DataFrame) -> DataFrame:
+        """The filters after the changes; those that get too full are built anew, with more room, from all repeated keys."""
         n = self.n_shards
 
         def edit(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -275,12 +283,15 @@ class LineIndex:
             f = CuckooFilter.load(bytes(old["cells"].iloc[0])) if len(old) else CuckooFilter(1 << 16)
             up, down = new[new["up"]] if len(new) else new, new[~new["up"].astype(bool)] if len(new) else new
             f.delete(down["h1"].to_numpy(np.int64), down["h2"].to_numpy(np.int64))
-            if not f.insert(up["h1"].to_numpy(np.int64), up["h2"].to_numpy(np.int64)):
-                raise ValueError(f"filter shard {shard} is full; rebuild the index with more shards")
-            return pd.DataFrame({"shard": [shard], "cells": [f.dump()]})
-
-        keyed = changes.withColumn("shard", F.col("h1").bitwiseAND(F.lit(n - 1)))
-        return self.shards.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(edit, "shard long, cells binary")
+            room = np.count_nonzero(f.cells) + len(up) <= MOST_LOAD * f.cells.size or not len(up)
+            fits = room and f.insert(up["h1"].to_numpy(np.int64), up["h2"].to_numpy(np.int64))
+            return pd.DataFrame({"shard": [shard], "cells": [f.dump() if fits else None]})
+
+        shard = F.col("h1").bitwiseAND(F.lit(n - 1))
+        keyed = changes.withColumn("shard", shard)
+        edited = materialize(self.shards.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(edit, "shard long, cells binary"), "index-edited")
+        full = edited.where("cells IS NULL").select("shard")
+        return edited.where("cells IS NOT NULL").unionByName(_built(repeated.withColumn("shard", shard).join(F.broadcast(full), "shard")))
 
     def insert(self, docs: DataFrame) -> None:
         new = materialize(line_table(docs, self.min_chars), "index-new")

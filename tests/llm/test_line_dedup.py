@@ -66,6 +66,31 @@ def test_insert_and_delete_are_reversible(spark, make):
     assert sorted(map(tuple, gone.collect())) == before
 
 
+def test_inserts_that_grow_the_repeated_keys_tenfold(spark, monkeypatch):
+    monkeypatch.setattr(L, "KEYS_PER_SHARD", 600)  # several shards from the third insert on
+    lines = [f"line {k:05d} that is long enough" for k in range(2200)]
+
+    def batch(first, last, ids):
+        return spark.createDataFrame([(i, "\n".join(lines[first:last])) for i in ids], "doc_id long, text string")
+
+    def keys(rows):
+        return sorted(map(tuple, rows.collect()))
+
+    index, docs = L.LineIndex(spark), None
+    for first, last, ids in [(0, 100, range(3)), (100, 1000, range(3, 6)), (1000, 2000, range(6, 9)), (2000, 2200, range(9, 12))]:
+        more = batch(first, last, ids)
+        docs = more if docs is None else docs.unionByName(more)
+        index.insert(more)
+        gone = L.lines_to_drop(L.line_table(docs)).select("doc_id", F.explode("gone").alias("g")).select("doc_id", "g.h1", "g.h2")
+        assert keys(index.drops()) == keys(gone) and index.drops().count() == 2 * last
+        if last == 1000:
+            before = keys(index.drops())
+    shards = index.shards.collect()
+    assert len(shards) == index.n_shards > 1 and all((np.frombuffer(r["cells"], np.uint16) > 0).mean() <= L.MOST_LOAD for r in shards)
+    index.delete(docs.where("doc_id >= 6"))
+    assert keys(index.drops()) == before
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 9))
 def test_cuckoo_filter_has_no_false_negatives(n, seed):
