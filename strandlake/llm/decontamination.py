@@ -127,12 +127,20 @@ def _parts(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(__row, text) to __row, n_words, n_hit, items, spans; a row of docs for each __row."""
+    """docs(__row, text) to __row, n_words, n_hit, items, spans; a row for each row of docs, whatever its __row."""
     parts = _parts(benchmark)
+    if len(parts) == 1:
+        length = lambda x: x["last"] - x["first"] + 1
+        found = _scanned(docs, [(r[0], r[1].encode()) for r in parts[0].collect()])
+        return found.select("__row", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + length(x)).alias("n_hit"), "items", "spans")
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.col("__row").alias("__given"), "text"), "scan-docs")
+    found = _in_parts(keyed.select("__row", "text"), parts)
+    return found.join(keyed.select("__row", "__given"), "__row").select(F.col("__given").alias("__row"), "n_words", "n_hit", "items", "spans")
+
+
+def _in_parts(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Like contaminated_words, for docs with a __row of its own in each row, with hits of all parts united."""
     results = [_scanned(docs, [(r[0], r[1].encode()) for r in p.collect()]) for p in parts]
-    length = lambda x: x["last"] - x["first"] + 1
-    if len(results) == 1:
-        return results[0].select("__row", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + length(x)).alias("n_hit"), "items", "spans")
     every = materialize(results[0], "scan-0")
     for i, more in enumerate(results[1:], 1):
         every = every.unionByName(materialize(more.where(F.size("items") > 0), f"scan-{i}"))
@@ -155,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if len(parts) == 1:
         return docs
     keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "scan-docs")
-    bad = contaminated_words(keyed.select("__row", "text"), benchmark).where(contaminated())
+    bad = _in_parts(keyed.select("__row", "text"), parts).where(contaminated())
     return keyed.join(bad.select("__row"), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

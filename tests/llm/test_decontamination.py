@@ -51,6 +51,18 @@ def test_against_brute_force(spark, make, monkeypatch):
     assert run(spark, docs, items) == want
 
 
+def test_rows_that_share_a_doc_id_or_have_none(spark, make, monkeypatch):
+    docs, items = data(make)
+    ids = [i % 5 or None for i in range(len(docs))]
+    want = brute([(k, t) for k, (_, t) in enumerate(docs)], [x for x in items if x[0] is not None])
+    want = sorted((i or 0, *want[k]) for k, i in enumerate(ids))
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, docs, strict=True)], "__row long, text string")
+    for chars in (D.PART_CHARS, 150):  # one automaton and several
+        monkeypatch.setattr(D, "PART_CHARS", chars)
+        got = D.contaminated_words(rows, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r["__row"] or 0, r["n_words"], r["n_hit"], list(r["items"]), 0 < r["n_hit"] and 20 * r["n_hit"] >= r["n_words"]) for r in got) == want
+
+
 def test_documents_that_stay(spark, make):
     docs, items = data(make)
     want = {i for i, v in brute(docs, [x for x in items if x[0] is not None]).items() if not v[3]}
