@@ -13,13 +13,14 @@ The training sample is bounded by TRAIN_TOXIC, TRAIN_CLEAN and TRAIN_CHARS, what
 chosen by hash. Scoring reads every whole text.
 
 Defined cases: null, empty and wordless texts score as a sentence without any match; words over WORD are read in overlapping
-parts; letters that are set apart by blanks are read as a word too; a document with several labels is toxic if one says so;
+parts; letters that are set apart by blanks are read as a word too; letters of other scripts than Latin share 25 codes by hash; a document with several labels is toxic if one says so;
 null labels and ids are left out of training; with no toxic or no clean training document all scores are 0 or, if all are
 toxic, 1; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
+import codecs
 import pickle
 import re
 from collections import Counter
@@ -75,9 +76,22 @@ _EDGE = "".join(chr(i) for i in range(33, 256) if _code[i] == 1 and not _space[i
 _PLACES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN + 1) for j in range(1, k)]
 
 
+#: Letters of different codes that stand for the letters and digits beyond Latin-1.
+_STANDS = "".join({int(_code[c]): chr(c) for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}.values())
+
+
+def _folded(found: UnicodeEncodeError) -> tuple[str, int]:
+    """One character for each: letters and digits beyond Latin-1 by hash, blanks as blanks, a question mark for the others."""
+    some = found.object[found.start : found.end]
+    return "".join(_STANDS[(ord(c) * 0x9E3779B1 & 0xFFFFFFFF) * len(_STANDS) >> 32] if c.isalnum() else " " if c.isspace() else "?" for c in some), found.end
+
+
+codecs.register_error("strandlake.folded", _folded)
+
+
 def low(text: str | None) -> str:
-    """Lower-case; what is not Latin-1 becomes a question mark."""
-    return (text or "").lower().encode("latin-1", "replace").decode("latin-1")
+    """Lower-case in Latin-1, into whose letters those of other scripts are folded."""
+    return (text or "").lower().encode("latin-1", "strandlake.folded").decode("latin-1")
 
 
 def parts_of(word: str) -> list[str]:

@@ -46,6 +46,25 @@ def test_insults_with_gaps_and_letters_put_in(data, make):
     assert max(score([w(80) for _ in range(30)])) < 0.5
 
 
+@pytest.mark.parametrize("first,step", [(0x430, 1), (0x4E00, 331)])
+def test_other_scripts(spark, make, first, step):
+    """The corpus in letters of another script, on which a toxic text is told as it is in Latin ones."""
+    script = str.maketrans({chr(97 + i): chr(first + step * i) for i in range(26)})
+    docs = [(i, t.translate(script), y) for i, t, y in corpus(make)]
+    model = X.train_on(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int"))
+    out = [(i, t, y) for i, t, y in docs if zlib.crc32(str(i).encode()) % 5 == 0]
+    got = X._scorer(model)([t for _, t, _ in out]) >= 0.5
+    assert np.mean([a == bool(y) for a, (_, _, y) in zip(got, out, strict=True)]) > 0.97
+
+
+def test_characters_beyond_latin_1_are_folded():
+    text = "Straße ÿ x2 — “Дурак”\u3000ВОН… 笨蛋！"
+    got = X.low(text)
+    assert len(got) == len(text) and got.startswith("straße ÿ x2 ? ?") and X.low(got) == got and got == X.low(text.upper().replace("SS", "ß"))
+    assert [len(w) for w in got.split()] == [6, 1, 2, 1, 7, 4, 3] and got.split()[4].strip("?").isalnum() and len(set(X._STANDS)) == 25
+    assert len({int(X._code[ord(c)]) for c in X._STANDS}) == 25 and got.split()[6][-1] == "?"
+
+
 def test_odd_texts_and_rows(spark, data):
     model = data[3]
     texts = [None, "", " ", "x" * 5000, "blockhead" * 500, "日本 blockhead rotter gobbin", "." * 300, "ÿ" * 50, "a b c d e f g"]
