@@ -5,30 +5,48 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_removed: set[str] = set()
 _keeper: list[tuple[str, Callable[[], None]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local runs have one of their own; a cluster must name it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
     if sc.applicationId not in _own:
         _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="strandlake-")
     return _own[sc.applicationId]
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. What this application has written there is removed when its driver ends."""
+    root = f"{shared_dir(spark)}/strandlake/{spark.sparkContext.applicationId}"
+    if root not in _removed:
+        fs, path = _path(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _removed.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,10 +59,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialized table that nothing will read again, such as the last round's of a loop."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, path = _path(df.sparkSession, folder)
+        fs.delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_that_pass(docs: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], list[bool]]]) -> DataFrame:
+    """The rows, whatever the names of their columns, for which a test of one column holds; make gives a task its test of a batch."""
+    at = docs.columns.index(column)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(0).field(at)), pa.bool_()))
+
+    return packed.mapInArrow(run, packed.schema).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def keep_in_worker(name: str, release: Callable[[], None]) -> None:
     """Called by a task before it keeps anything for later tasks of its process: what another operator has kept there goes first.
 

@@ -6,10 +6,12 @@ windows end; both the word and the byte offset in the original follow from the p
 normalisation keeps every byte in its place.
 
 The automaton goes to every task, so the benchmark's size is measured first: up to PART_CHARS it is one automaton; a
-larger benchmark is cut into parts of that size by item, each part scans the texts, and hits are united by document.
+larger benchmark is cut into parts of that size, long items too, one part after another scans the texts, and hits are united by
+document.
 
 Defined cases: null or wordless text has no words and no hits; null or wordless items have no windows; repeated items
-count once by item_id; repeated documents each get their row; items with null item_id are left out.
+count once by item_id; repeated documents each get their row; items with null item_id are left out; other columns of documents pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import keep_in_worker, materialize, table
+from strandlake.llm.common import keep_in_worker, materialize, rows_that_pass, table
 
 WINDOW = 13
 #: Characters of benchmark text for one automaton, about 0.5 GB of it at worst.
 PART_CHARS = 2_000_000
+#: Items of more characters are cut into runs of so many words, so that one item may be larger than a part.
+SEGMENT_CHARS, SEGMENT_WORDS = 100_000, 10_000
 _table = bytearray(b" " * 128 + bytes(range(128, 256)))
 for _c in [*range(0x30, 0x3A), *range(0x61, 0x7B)]:
     _table[_c] = _c
@@ -62,8 +66,16 @@ def automaton(windows: list[tuple[str, int, tuple[int, ...]]]) -> ahocorasick.Au
     return made
 
 
-def scan(text: bytes | None, found: ahocorasick.Automaton | None) -> tuple[int, np.ndarray, set[int], bytes]:
-    """Number of words, mask of hit words, items whose windows occur, and the text as normalised in place."""
+def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Mask of n words that some run from first up to last covers."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, last, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def scan(text: bytes | None, found: ahocorasick.Automaton | None) -> tuple[int, np.ndarray, np.ndarray, set[int], bytes]:
+    """Number of words, masks of hit words and of those in windows of full length, items whose windows occur, and the text as normalised in place."""
     same = (text or b"").translate(NORMAL)
     joined = b" " + b" ".join(same.split()) + b" "
     n = joined.count(b" ") - 1 if len(joined) > 2 else 0
@@ -73,16 +85,14 @@ def scan(text: bytes | None, found: ahocorasick.Automaton | None) -> tuple[int,
         for end, (size, ids) in found.iter(joined.decode("latin-1")):
             hits.append((end, size))
             items.update(ids)
-    mask = np.zeros(n, bool)
+    mask = whole = np.zeros(n, bool)
     if hits:
         spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         at, size = np.array(hits).T
         last = np.searchsorted(spaces, at)  # the separator after a window's last word has that word's number plus one
-        change = np.zeros(n + 1, np.int64)
-        np.add.at(change, last - size, 1)
-        np.add.at(change, last, -1)
-        mask = np.cumsum(change)[:-1] > 0
-    return n, mask, items, same
+        mask, full = _covered(n, last - size, last), size == WINDOW
+        whole = _covered(n, (last - size)[full], last[full])
+    return n, mask, whole, items, same
 
 
 def spans(mask: np.ndarray, same: bytes) -> list[tuple[int, int]]:
@@ -94,12 +104,11 @@ def spans(mask: np.ndarray, same: bytes) -> list[tuple[int, int]]:
     return [(int(start[a]), int(end[b - 1])) for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1), strict=True)]
 
 
-SCHEMA = "__row long, n_words long, hits array<struct<first:int,last:int>>, items array<long>, spans array<struct<start:long,end:long>>"
+SCHEMA = "__row long, n_words long, hits array<struct<first:int,last:int,whole:boolean>>, items array<long>, spans array<struct<start:long,end:long>>"
 
 
-def _scanned(docs: DataFrame, items: list[tuple[int, bytes | None]]) -> DataFrame:
-    """__row, n_words, runs of hit words, items and byte spans for docs(__row, text)."""
-    given = docs.sparkSession.sparkContext.broadcast(item_windows(items))
+def _scanned(docs: DataFrame, given) -> DataFrame:
+    """__row, n_words, runs of hit words, items and byte spans for docs(__row, text); given: the windows, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_in_worker("decontamination", lambda: None)
@@ -107,23 +116,48 @@ def _scanned(docs: DataFrame, items: list[tuple[int, bytes | None]]) -> DataFram
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for text in b.column(1).cast(pa.large_binary()).to_pylist():
-                n, mask, got, same = scan(text, found)
+                n, mask, whole, got, same = scan(text, found)
                 out[0].append(n)
                 edge = np.diff(np.r_[False, mask, False].astype(np.int8)) if got else None
-                out[1].append([{"first": int(x), "last": int(y) - 1} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)] if got else [])
+                out[1].append([{"first": int(x), "last": int(y) - 1, "whole": bool(whole[x:y].any())} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)] if got else [])
                 out[2].append(sorted(got))
                 out[3].append([{"start": x, "end": y} for x, y in spans(mask, same)] if got else [])
-            types = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            types = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("whole", pa.bool_())])), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["__row", "n_words", "hits", "items", "spans"])
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def segments(benchmark: DataFrame) -> DataFrame:
+    """item_id, text of the benchmark's items; a long one in runs of words, which overlap so that each window is in one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = [], []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                w = words(text) if len(text) > SEGMENT_CHARS else None
+                some = [text] if w is None else [b" ".join(w[i : i + SEGMENT_WORDS + WINDOW - 1]) for i in range(0, max(1, len(w) - WINDOW + 1), SEGMENT_WORDS)]
+                ids.extend([item] * len(some))
+                texts.extend(x.decode() for x in some)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    return benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "item_id long, text string")
+
+
 def _parts(benchmark: DataFrame) -> list[DataFrame]:
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // PART_CHARS) or 1
-    return [items] if n == 1 else [items.where(F.pmod(F.hash("item_id"), F.lit(2 * n)) == i) for i in range(2 * n)]
+    """The benchmark in parts of about PART_CHARS at most, each for one automaton."""
+    given = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL")
+    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars <= PART_CHARS:
+        return [given.select(F.col("item_id").cast("long"), "text")]
+    cut = materialize(segments(benchmark), "benchmark-segments")
+    n = 2 * -(-chars // PART_CHARS)
+    return [cut.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _windows(part: DataFrame):
+    """The part's windows for all tasks; what comes to the driver is what _parts bounds."""
+    return part.sparkSession.sparkContext.broadcast(item_windows([(r[0], r[1].encode()) for r in part.collect()]))
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -131,7 +165,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = _parts(benchmark)
     if len(parts) == 1:
         length = lambda x: x["last"] - x["first"] + 1
-        found = _scanned(docs, [(r[0], r[1].encode()) for r in parts[0].collect()])
+        found = _scanned(docs, _windows(parts[0]))
         return found.select("__row", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + length(x)).alias("n_hit"), "items", "spans")
     keyed = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.col("__row").alias("__given"), "text"), "scan-docs")
     found = _in_parts(keyed.select("__row", "text"), parts)
@@ -139,49 +173,64 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _in_parts(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Like contaminated_words, for docs with a __row of its own in each row, with hits of all parts united."""
-    results = [_scanned(docs, [(r[0], r[1].encode()) for r in p.collect()]) for p in parts]
-    every = materialize(results[0], "scan-0")
-    for i, more in enumerate(results[1:], 1):
-        every = every.unionByName(materialize(more.where(F.size("items") > 0), f"scan-{i}"))
+    """Like contaminated_words, for docs with a __row of its own in each row, with hits of all parts united.
+
+    One part after another is scanned, so that the driver and the tasks hold one part's windows at a time.
+    """
+    every = None
+    for i, part in enumerate(parts):
+        windows = _windows(part)
+        found = _scanned(docs, windows)
+        found = materialize(found if i == 0 else found.where(F.size("items") > 0), f"scan-{i}")
+        every = found if every is None else every.unionByName(found)
+        windows.unpersist()
     first = every.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("hits")).alias("h"), F.flatten(F.collect_list("spans")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("h", lambda x: F.sequence(x["first"], x["last"])))))
     return first.select("__row", "n_words", covered.cast("long").alias("n_hit"), F.array_sort("items").alias("items"), F.array_sort("spans").alias("spans"))
 
 
 def contaminated() -> F.Column:
+    """The contract's verdict: windows cover a twentieth of the words or more."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns; the scan runs beside the row and moves no text."""
-    given = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    parts = _parts(given)
-    for part in parts:
-        windows = docs.sparkSession.sparkContext.broadcast(item_windows([(r[0], r[1].encode()) for r in part.collect()]))
-        docs = _kept(docs, windows) if len(parts) == 1 else docs
+    """The documents without benchmark passages, with their columns.
+
+    WINDOW words of an item in a row are a passage in a document of any length. An item of fewer words may stand in a text by chance,
+    so such items count where they cover a twentieth of the words. With one part the scan runs beside the row and moves no text; with
+    more, documents are written with a number each first.
+    """
+    parts = _parts(benchmark)
     if len(parts) == 1:
-        return docs
-    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "scan-docs")
-    bad = _in_parts(keyed.select("__row", "text"), parts).where(contaminated())
-    return keyed.join(bad.select("__row"), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+        return _kept(docs, _windows(parts[0]))
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")), "scan-docs")
+    bad = None
+    for i, part in enumerate(parts):
+        windows = _windows(part)
+        hit = materialize(_scanned(keyed.select("__row", F.col("__doc.text").alias("text")), windows).where(F.size("items") > 0).select("__row", "n_words", "hits"), f"scan-{i}")
+        bad = hit if bad is None else bad.unionByName(hit)
+        windows.unpersist()
+    covered = bad.groupBy("__row").agg(F.max("n_words").alias("n"), F.flatten(F.collect_list("hits")).alias("h"))
+    words_ = F.size(F.array_distinct(F.flatten(F.transform("h", lambda x: F.sequence(x["first"], x["last"])))))
+    whole = bad.where(F.exists("hits", lambda x: x["whole"])).select("__row")
+    gone = whole.unionByName(covered.where(20 * words_ >= F.col("n")).select("__row")).distinct()
+    return keyed.join(gone, "__row", "left_anti").select(*(F.col("__doc")[c].alias(c) for c in docs.columns))
 
 
 def _kept(docs: DataFrame, windows) -> DataFrame:
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         keep_in_worker("decontamination", lambda: None)
         found = automaton(windows.value)
-        for b in batches:
-            clean = []
-            for text in b.column(at).cast(pa.large_binary()).to_pylist():
-                n, mask, _, _ = scan(text, found)
-                hit = int(mask.sum())
-                clean.append(not (hit and 20 * hit >= n))
-            yield b.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+
+        def clean(text: bytes | None) -> bool:
+            n, mask, whole, *_ = scan(text, found)
+            hit = int(mask.sum())
+            return not (hit and (whole.any() or 20 * hit >= n))
+
+        return lambda texts: [clean(t) for t in texts.cast(pa.large_binary()).to_pylist()]
+
+    return rows_that_pass(docs, "text", make)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import keep_in_worker, table
+from strandlake.llm.common import keep_in_worker, rows_that_pass, table
 from strandlake.llm.minhash import shingles
 from strandlake.llm.token_ids import in_slices
 
@@ -647,14 +647,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents, all columns, that score below least."""
-    given, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    given = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         score = _scorer(given.value)
-        for b in batches:
-            yield b.filter(pa.array(score(b.column(at).to_pylist()) < least, pa.bool_()))
+        return lambda texts: (score(texts.to_pylist()) < least).tolist()
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_that_pass(docs, "text", make)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
