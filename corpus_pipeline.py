@@ -26,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold benchmark passages to a twentieth of their words."""
+    """Documents without any benchmark passage, however long they are."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
