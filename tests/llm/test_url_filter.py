@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import url_filter as U
@@ -20,31 +22,95 @@ def brute(url):
     return host, path, best and best.name, best and best.verdict
 
 
+def rank(w, seeds):
+    """Dense personalised PageRank: mass of hosts without links goes back to the seeds."""
+    r, out, total = seeds.copy(), w.sum(axis=1), seeds.sum()
+    for _ in range(400 if total else 0):
+        moved = 0.85 * (r[out > 0] / out[out > 0]) @ w[out > 0]
+        r = moved + (total - 0.85 * r[out > 0].sum()) / total * seeds
+    return r
+
+
+def verdicts(pages, bad=lambda h: False):
+    """(page_id, host, path, rule, verdict) of pages(page_id, url, html), with the whole host graph as a matrix."""
+    cut = [(i, *brute(u), h) for i, u, h in pages]
+    links = Counter()
+    for _, host, _, _, _, html in cut:
+        for link in re.findall(r"<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*[\"']?\s*([^\"'\s>]+)", html or "", re.I):
+            to = brute("http:" + link if link.startswith("//") else link)[0] if "//" in link else ""
+            if host and to and to != host:
+                links[host, to] += 1
+    known = {c[1] for c in cut if c[1]} | {b for _, b in links}
+    edges = Counter(links)
+    for pair in {(".".join(p[k:]), ".".join(p[k + 1 :])) for h in known if not re.fullmatch(r"[0-9.]+(:[0-9]*)?", h) for p in [h.split(".")] for k in range(len(p) - 2)}:
+        edges[pair] += 1
+        edges[pair[::-1]] += 1
+    names = sorted(known | {h for e in edges for h in e})
+    at, w = {h: k for k, h in enumerate(names)}, np.zeros((len(names), len(names)))
+    for (a, b), n in edges.items():
+        w[at[a], at[b]] = n
+    good, evil = np.zeros(len(names)), np.zeros(len(names))
+    for h in known:
+        mine = [c[4] for c in cut if c[1] == h]
+        if 2 * mine.count("block") > len(mine) or bad(h):
+            evil[at[h]] = 1
+        elif mine.count("allow") > mine.count("block"):
+            good[at[h]] = 1
+    trust, distrust = rank(w, good), rank(w.T, evil)
+    judged = {h: distrust[k] > trust[k] * (1 + 1e-6) for h, k in at.items()}
+    close = {h for h, k in at.items() if abs(distrust[k] - trust[k]) < 1e-3 and max(distrust[k], trust[k])}
+    return [(i, host, path, rule, v or ("block" if judged.get(host) else "allow")) for i, host, path, rule, v, _ in cut], close, judged
+
+
+def got(rows, **kw):
+    return sorted((tuple(r) for r in U.judge_urls(rows, **kw).select("page_id", "host", "path", "rule", "verdict").collect()), key=repr)
+
+
 def test_rules(spark):
     rows = spark.createDataFrame([(i, u, None, "h") for i, u in enumerate(URLS)], "page_id long, url string, html string, host string")
     for r in U.judge_urls(rows).collect():
         host, path, rule, verdict = brute(URLS[r["page_id"]])
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or "allow")
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"])
+    assert got(rows) == sorted(verdicts([(i, u, None) for i, u in enumerate(URLS)])[0], key=repr)
     assert U.judge_urls(rows.limit(0)).count() == 0
 
 
 PAGES = [
     (1, "http://good.net/de/1", '<a href="http://friend.net/x">'),
     (2, "http://friend.net/x", "<a class=b href=http://other.net/><a href='/rel'>"),
-    (3, "http://shady.net/y", '<A HREF="//casino-win.net/">x</a><a href="http://friend.net">'),
-    (4, "http://casino-win.net/q", None),
+    (3, "http://shady.net/y", '<A HREF="//win.org/">x</a><a href="http://friend.net">'),
+    (4, "http://win.org/es/", None),
+    (4, "http://win.org/es/", None),
+    (7, "http://win.org/q", None),
     (5, "http://linker.net/a", '<a href="http://shady.net/">'),
-    (6, "http://casino-win.net/de/", ""),
+    (6, "http://pills.net/", ""),
+    (8, "http://a.pills.net/x", ""),
+    (9, None, '<a href="http://win.org/">'),
+    (10, "http://good.net/de/1", None),
+    (11, "http://10.0.0.1:80/a", ""),
 ]
 
 
 def test_trust_and_distrust_spread(spark, monkeypatch):
     rows = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    want = {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow"}
-    assert {r["page_id"]: r["verdict"] for r in U.judge_urls(rows).collect()} == want
-    monkeypatch.setattr(U, "BROADCAST_HOSTS", 0)
-    monkeypatch.setattr(U, "PER_SALT", 1)
-    assert {r["page_id"]: r["verdict"] for r in U.judge_urls(rows).collect()} == want
+    want, close, _ = verdicts(PAGES)
+    assert not close and got(rows) == sorted(want, key=repr)
+    assert {r[0]: r[4] for r in want} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "allow", 11: "allow"}
+    named = verdicts(PAGES, lambda h: h == "pills.net")[0]
+    assert got(rows, blocked=F.col("host") == "pills.net") == sorted(named, key=repr) and {r[4] for r in named if r[0] in (6, 8)} == {"block"}
+    for name, value in (("BROADCAST_HOSTS", 0), ("PER_SALT", 1), ("STEPS_AT_ONCE", 3)):
+        monkeypatch.setattr(U, name, value)
+    assert got(rows) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_against_brute_force(spark, sf):
+    """Whole verdicts over the whole table; pages that no rule decides are decided by the ranks of their hosts."""
+    pages = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    want, close, judged = verdicts(pages)
+    have = sorted((tuple(r) for r in U.op9_url_filter(spark, f"/root/testdata/{sf}").select("page_id", "host", "path", "rule", "verdict").collect()), key=repr)
+    assert not close and have == sorted(want, key=repr)
+    assert {r[4] for r in want if r[3] is None} == {"allow", "block"} and any(judged.values())
 
 
 def test_ranks_match_dense_iteration(spark):
@@ -53,17 +119,25 @@ def test_ranks_match_dense_iteration(spark):
     np.fill_diagonal(w, 0)
     seeds = np.zeros(12)
     seeds[[1, 4]] = 0.5
-    r, out = seeds.copy(), w.sum(axis=1)
-    for _ in range(200):
-        moved = 0.85 * sum(r[i] * w[i] / out[i] for i in range(12) if out[i])
-        r = moved + (1 - 0.85 * r[out > 0].sum()) * seeds
+    r = rank(w, seeds)
     edges = spark.createDataFrame([(str(i), str(j), int(w[i, j])) for i in range(12) for j in range(12) if w[i, j]], "src string, dst string, weight long")
     given = spark.createDataFrame([("1", 0.5), ("4", 0.5)], "host string, mass double")
-    got = {x["host"]: x["rank"] for x in U.propagate(edges, given, tolerance=1e-4, most_steps=60).collect()}
-    assert all(abs(got.get(str(i), 0) - r[i]) < 1e-3 for i in range(12)) and abs(sum(got.values()) - 1) < 1e-6
+    found = {x["host"]: x["rank"] for x in U.propagate(edges, given).collect()}
+    assert all(abs(found.get(str(i), 0) - r[i]) < 1e-3 for i in range(12)) and abs(sum(found.values()) - 1) < 1e-6
+    assert {x["host"]: x["rank"] for x in U.propagate(edges.limit(0), given).collect()} == {"1": 0.5, "4": 0.5}
+
+
+def test_the_steps_are_as_many_as_the_tolerance_takes():
+    assert U.DAMPING ** U.steps_for(U.DAMPING, 1e-6) <= 1e-6 < U.DAMPING ** (U.steps_for(U.DAMPING, 1e-6) - 1)
 
 
 def test_links_are_between_hosts(spark):
     rows = spark.createDataFrame([("a.com", '<a href="http://A.com/x"><a href="http://b.com/1"><a data-x=1 href=" http://b.com/2 "><a href="mailto:x@y"><a href="/c"><link href="http://z.com">')], "host string, html string")
     assert [tuple(r) for r in U.host_edges(rows).orderBy("dst").collect()] == [("a.com", "b.com", 2)]
     assert U.rule_of(F.lit("x"), F.lit("/")) is not None
+
+
+def test_edges_of_domains(spark):
+    rows = spark.createDataFrame([("a.b.c.com",), ("x.c.com",), ("c.com",), ("com",), ("10.1.2.3",), ("",)], "host string")
+    up = {("a.b.c.com", "b.c.com"), ("b.c.com", "c.com"), ("x.c.com", "c.com")}
+    assert {(r["src"], r["dst"]) for r in U.domain_edges(rows).collect()} == up | {(b, a) for a, b in up}
