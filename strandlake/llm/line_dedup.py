@@ -30,8 +30,10 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MIN_CHARS = 20
 MIN_DOCS = 3
 KEYS_PER_SHARD = 50_000
-#: The filters of all shards are broadcast up to this size; beyond it lines go straight to the exact join.
+#: The filters of all shards are broadcast up to this size; beyond it lines go to their shard's filter.
 FILTER_BYTES = 64 << 20
+#: Keys of one shard that a task looks up; a shard with more lines has them in several tasks, each with the filter.
+LOOKUPS = 1_000_000
 #: Share of a filter's cells beyond which inserts rebuild it with more room.
 MOST_LOAD = 0.8
 
@@ -182,11 +184,42 @@ def _built(keyed: DataFrame) -> DataFrame:
 
 
 def probable(lines: DataFrame, shards: DataFrame, n_shards: int, n_keys: int) -> DataFrame:
-    """Lines whose key may be repeated: all that are, and few others."""
-    if n_keys * 8 > FILTER_BYTES:  # two bytes a slot, at least 0.4 full after rounding up
-        return lines
-    cells = lines.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cells"]) for r in shards.collect()})
+    """Lines whose key may be repeated: all that are, and few others.
 
+    Filters that are small together go to all tasks. Larger ones meet the lines of their shard, which are dealt over salts, as one
+    key may have a third of them: a filter comes first in each of its groups and then the lines go by it.
+    """
+    if n_keys * 8 <= FILTER_BYTES:  # two bytes a slot, at least 0.4 full after rounding up
+        cells = lines.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cells"]) for r in shards.collect()})
+        return lines.select("doc_id", "h1", "h2").mapInArrow(_looked_up(cells, n_shards), LINES)
+    keyed = lines.select("doc_id", "h1", "h2", F.col("h1").bitwiseAND(F.lit(n_shards - 1)).alias("shard"))
+    salts = keyed.groupBy("shard").agg(F.ceil(F.count("*") / LOOKUPS).cast("int").alias("salts"))
+    most = salts.agg(F.max("salts")).first()[0] or 1
+    held = shards.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("salt"), "cells")
+    none = F.lit(None).cast("long")
+    filters = held.select("shard", "salt", F.lit(0).alias("part"), none.alias("doc_id"), none.alias("h1"), none.alias("h2"), "cells")
+    asked = keyed.select("shard", F.pmod(F.xxhash64("doc_id", "h2"), F.lit(most)).cast("int").alias("salt"), F.lit(1).alias("part"), "doc_id", "h1", "h2", F.lit(None).cast("binary").alias("cells"))
+    met = filters.unionByName(asked).repartition(n_shards * most, "shard", "salt").sortWithinPartitions("shard", "salt", "part")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, None
+        for b in parts:
+            shard, salt, first = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (first[1:] != first[:-1])])
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), b.num_rows], strict=True):
+                key = (int(shard[lo]), int(salt[lo]))
+                if first[lo] == 0:
+                    now, found = key, CuckooFilter.load(b.column(6)[lo].as_py())
+                elif key == now:  # a shard without a filter has no repeated key
+                    s = b.slice(lo, hi - lo)
+                    hit = found.contains(*(s.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)))
+                    if hit.any():
+                        yield pa.RecordBatch.from_arrays([s.column(i).filter(pa.array(hit)) for i in (3, 4, 5)], ["doc_id", "h1", "h2"])
+
+    return met.mapInArrow(run, LINES)
+
+
+def _looked_up(cells, n_shards: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {k: CuckooFilter.load(v) for k, v in cells.value.items()}
         for b in parts:
@@ -198,7 +231,7 @@ def probable(lines: DataFrame, shards: DataFrame, n_shards: int, n_keys: int) ->
             if hit.any():
                 yield b.filter(pa.array(hit))
 
-    return lines.select("doc_id", "h1", "h2").mapInArrow(run, LINES)
+    return run
 
 
 def lines_to_drop(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

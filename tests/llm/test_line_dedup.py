@@ -44,6 +44,24 @@ def test_against_brute_force(spark, make):
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in digest.collect()} == {i: (a, b, hashlib.sha256(c.encode()).hexdigest()) for i, (a, b, c) in want.items()}
 
 
+def test_filters_that_meet_their_lines(spark, make, monkeypatch):
+    """Filters too large for all tasks: the same lines go, over several shards and salts."""
+    w = make(3)
+    lines = [w(9) for _ in range(300)]
+    docs = [(i, "\n".join(lines[(i * j * j) % 300] for j in range(8)) + "\n" + lines[0]) for i in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    table = L.materialize(L.line_table(rows), "lines")
+    want = sorted(map(tuple, L.lines_to_drop(table).select("doc_id", F.explode("gone").alias("g")).select("doc_id", "g.*").collect()))
+    for name, value in (("FILTER_BYTES", 0), ("KEYS_PER_SHARD", 20), ("LOOKUPS", 50)):
+        monkeypatch.setattr(L, name, value)
+    got = L.lines_to_drop(table).select("doc_id", F.explode("gone").alias("g")).select("doc_id", "g.*").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 300
+    refs = L.materialize(L.reference_counts(table).where("n >= 3"), "refs")
+    shards, n = L.filter_shards(refs, refs.count())
+    hits = L.probable(table, shards, n, refs.count())
+    assert n > 4 and hits.join(refs, ["h1", "h2"], "left_semi").count() == table.join(refs, ["h1", "h2"], "left_semi").count() <= hits.count() < table.count()
+
+
 def test_without_filters_and_empty(spark, make, monkeypatch):
     monkeypatch.setattr(L, "FILTER_BYTES", 0)
     rows = spark.createDataFrame([(i, "the same line that is long enough") for i in range(4)], "doc_id long, text string")
