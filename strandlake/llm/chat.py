@@ -1,8 +1,9 @@
 """Chat formatting: fingerprints of nested field paths choose declarative mappings into canonical turns.
 
-A layout names the field paths of a record and how they become turns. The fingerprint of a record is the hash of those known
-paths that it has, sorted; fields that no layout knows do not count. Tables have the fingerprint of their schema, JSON
-records one each, so that one table may mix layouts. All of it is column expressions.
+A layout names the field paths of a record and how they become turns; one table, BY_FINGERPRINT, leads from fingerprints to
+layouts. The fingerprint of a record is the hash of those known paths that it has, sorted; fields that no layout knows do not count.
+Tables have the fingerprint of their schema, JSON records one each, so that one table may mix layouts; a table with a row for each
+turn is a layout too, whose rows are gathered by conversation first. All of it is column expressions.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and roles each ``<``, any number of
 backslashes, ``|`` gets one more backslash, which leaves no ``<|`` and is undone the same way; roles have their line ends
@@ -10,7 +11,8 @@ written as ``\\n`` too. The loss mask is kept as runs, (skip, take, rest) for ea
 
 Defined cases: null text, role or content is empty; turns with equal numbers go by role and text; null turn numbers come first;
 records of no known layout have null turns and format to null; a conversation without turns formats to the empty string;
-other columns of the conversation table are not looked at; a null conv_id is a conversation of its own.
+an array has the paths that any of its elements has; other columns of the conversation table are not looked at; a null conv_id is a
+conversation of its own; columns named formatted or loss_runs give way to the new ones, all others pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import table
+from strandlake.llm.common import table, unused
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -36,13 +38,15 @@ class Layout:
     """paths: needed fields, ``[]`` for the elements of an array; optional: those that may be absent.
 
     turns: ("each", array, role field, text field), ("one", role, field, ...) with fields joined by a blank line, or
-    ("pairs", array) for an array of (user, assistant) pairs.
+    ("pairs", array) for an array of (user, assistant) pairs. rows: where a record is a turn, the fields of its conversation and of
+    its place there; turns is then ("one row", role field, text field).
     """
 
     name: str
     paths: tuple[str, ...]
     turns: tuple[tuple[str, ...], ...]
     optional: tuple[str, ...] = ()
+    rows: tuple[str, str] | None = None
 
 
 LAYOUTS = (
@@ -52,9 +56,9 @@ LAYOUTS = (
     Layout("completion", ("prompt", "completion"), (("one", "system", "system"), ("one", "user", "prompt"), ("one", "assistant", "completion")), ("system",)),
     Layout("response", ("prompt", "response"), (("one", "system", "system"), ("pairs", "history"), ("one", "user", "prompt"), ("one", "assistant", "response")), ("system", "history[]")),
     Layout("question", ("question", "answer"), (("one", "user", "context", "question"), ("one", "assistant", "answer")), ("context",)),
+    Layout("rows", ("conv_id", "turn", "role", "text"), (("one row", "role", "text"),), rows=("conv_id", "turn")),
+    Layout("message rows", ("conversation_id", "message_index", "role", "content"), (("one row", "role", "content"),), rows=("conversation_id", "message_index")),
 )
-#: A table with a row for each turn.
-ROWS = Layout("rows", ("conv_id", "turn", "role", "text"), ())
 KNOWN = tuple(sorted({p for x in LAYOUTS for p in x.paths + x.optional}))
 
 
@@ -68,6 +72,10 @@ def layout_fingerprints(layout: Layout) -> list[str]:
     return [_hash([*layout.paths, *x]) for x in some]
 
 
+#: From each fingerprint to its layout.
+BY_FINGERPRINT = {f: x for x in LAYOUTS for f in layout_fingerprints(x)}
+
+
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     if isinstance(kind, T.StructType):
         return [p for f in kind for p in schema_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)]
@@ -80,10 +88,21 @@ def schema_fingerprint(schema: T.StructType, known: tuple[str, ...] = KNOWN) ->
     return _hash([p for p in schema_paths(schema) if p in known])
 
 
+def _has(v: Column, path: str) -> Column:
+    """Whether a variant has a path; an array has what any of its elements has."""
+    array, _, rest = path.partition("[]")
+    if not path.endswith("[]") and not rest:
+        return F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+    elements = F.coalesce(F.try_variant_get(v, f"$.{array}", "array<variant>"), F.array())
+    if not rest:
+        return F.size(elements) > 0
+    return F.exists(elements, lambda e: F.try_variant_get(e, "$" + rest, "variant").isNotNull())
+
+
 def record_fingerprint(record: Column) -> Column:
-    """Of a JSON string; null where it is no JSON. An array is known by its first element."""
+    """Of a JSON string; null where it is no JSON."""
     v = F.try_parse_json(record)
-    there = [F.when(F.try_variant_get(v, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in KNOWN]
+    there = [F.when(_has(v, p), F.lit(p)) for p in KNOWN]
     return F.when(v.isNotNull(), F.substring(F.sha2(F.array_join(F.array_sort(F.array_compact(F.array(*there))), "\n"), 256), 1, 16))
 
 
@@ -124,21 +143,30 @@ def _mapped(record: Column, layout: Layout) -> Column:
     return F.concat(*(F.coalesce(p, none) for p in parts))
 
 
-def turns_of(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Canonical turns of a JSON record of any known layout; null where there is none."""
+def turns_of(record: Column) -> Column:
+    """Canonical turns of a JSON record of any known layout of whole conversations; null where there is none."""
     found, chosen = record_fingerprint(record), F.lit(None).cast(TURNS)
-    for x in layouts:
-        chosen = F.when(found.isin(layout_fingerprints(x)), _mapped(record, x)).otherwise(chosen)
+    for x in LAYOUTS:
+        if x.rows is None:
+            chosen = F.when(found.isin([f for f, y in BY_FINGERPRINT.items() if y is x]), _mapped(record, x)).otherwise(chosen)
     return chosen
 
 
-def conversations_of(rows: DataFrame) -> DataFrame:
-    """conv_id, turns from a table with a row for each turn, which its schema's fingerprint must show."""
-    if schema_fingerprint(rows.schema, ROWS.paths) not in layout_fingerprints(ROWS):
-        raise ValueError(f"no layout has the fields of {rows.schema.simpleString()}")
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("__turns"))
-    return grouped.select("conv_id", F.transform("__turns", lambda x: _turn(x["role"], x["text"])).alias("turns"))
+def conversations_of(table_: DataFrame) -> DataFrame:
+    """conv_id, turns of a table, by the layout that its schema's fingerprint leads to.
+
+    Rows that are turns are gathered by conversation; of any other layout each row is a conversation, with its columns as they are.
+    """
+    layout = BY_FINGERPRINT.get(schema_fingerprint(table_.schema))
+    if layout is None:
+        raise ValueError(f"no layout has the fields of {table_.schema.simpleString()}")
+    if layout.rows is None:
+        return table_.withColumn("turns", _mapped(F.to_json(F.struct(*(F.col(f"`{c}`") for c in table_.columns))), layout))
+    conversation, place = layout.rows
+    (_, role, text), = layout.turns
+    one = F.struct(F.col(place).alias("place"), _turn(F.col(role), F.col(text)).alias("turn"))
+    grouped = table_.groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("__turns"))
+    return grouped.select("conv_id", F.transform("__turns", lambda x: x["turn"]).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -195,8 +223,10 @@ def masked(text: Column, runs: Column) -> Column:
 
 def format_chat(conversations: DataFrame) -> DataFrame:
     """conversations(..., turns) with formatted and loss_runs beside."""
-    made = conversations.withColumn("__f", formatted(F.col("turns")))
-    return made.select(*conversations.columns, F.col("__f.text").alias("formatted"), F.col("__f.loss_runs").alias("loss_runs"))
+    name = unused(conversations, "__f")
+    made = conversations.withColumn(name, formatted(F.col("turns")))
+    kept = [F.col(f"`{c}`") for c in conversations.columns if c.lower() not in ("formatted", "loss_runs")]
+    return made.select(*kept, F.col(name)["text"].alias("formatted"), F.col(name)["loss_runs"].alias("loss_runs"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,9 @@ RECORDS = [
     ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
     ({"prompt": "p", "response": "r", "system": "s"}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
     ({"context": "c", "question": "q", "answer": "a"}, [("user", "c\n\nq"), ("assistant", "a")]),
+    ({"messages": [{"id": 1}, {"role": "user", "content": "late"}]}, [("", ""), ("user", "late")]),
+    ({"messages": [{"role": "user"}, {"content": "apart"}]}, [("user", ""), ("", "apart")]),
+    ({"messages": []}, None),
     ({"something": "else"}, None),
 ]
 
@@ -54,7 +57,21 @@ def test_layouts_are_told_by_their_paths(spark):
     for r in rows:
         assert (None if r["t"] is None else [tuple(x) for x in r["t"]]) == want.get(r["rec"])
     every = [f for x in C.LAYOUTS for f in C.layout_fingerprints(x)]
-    assert len(every) == len(set(every))
+    assert len(every) == len(set(every)) == len(C.BY_FINGERPRINT)
+
+
+def test_tables_go_by_the_same_fingerprints(spark):
+    """A table of whole records, and one with a row for each turn under other names, are mapped by what their schemas say."""
+    kind = "id long, messages array<struct<role:string,content:string,name:string>>, `a.b` int, __f string"
+    rows = spark.createDataFrame([(1, [("user", "q", None), ("gpt", None, "x")], 5, "z"), (2, [], 6, None), (3, None, 7, None)], kind)
+    got = {r["id"]: [tuple(t) for t in r["turns"]] for r in C.conversations_of(rows).collect()}
+    assert got == {1: [("user", "q"), ("assistant", "")], 2: [], 3: []}
+    made = C.format_chat(C.conversations_of(rows).withColumn("formatted", F.lit(1)).withColumn("Loss_Runs", F.lit(2)))
+    assert made.columns == ["id", "messages", "a.b", "__f", "turns", "formatted", "loss_runs"] and made.where("id = 2").first()["formatted"] == ""
+    parts = spark.createDataFrame([("k", 1, "bot", "b"), ("k", 0, "user", "a")], "conversation_id string, message_index int, role string, content string")
+    assert [(r["conv_id"], [tuple(t) for t in r["turns"]]) for r in C.conversations_of(parts).collect()] == [("k", [("user", "a"), ("bot", "b")])]
+    pair = spark.createDataFrame([("p", "r", "s")], "prompt string, response string, system string")
+    assert [tuple(t) for t in C.conversations_of(pair).first()["turns"]] == [("system", "s"), ("user", "p"), ("assistant", "r")]
 
 
 def test_rows_by_turn(spark):
