@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from strandlake.llm import minhash as M
 from strandlake.llm.components import connected_components
 
@@ -10,7 +12,7 @@ def sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(docs, percent=85):
+def brute(docs, percent=M.PERCENT):
     s, top = {i: sets(t) for i, t in docs}, {i: i for i, _ in docs}
 
     def find(x):
@@ -41,17 +43,44 @@ def corpus(make, seed=4):
     return docs
 
 
-def test_against_brute_force(spark, make):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_against_brute_force(spark, make, percent):
     docs = corpus(make)
-    got = M.near_duplicates(spark.createDataFrame(docs, "id long, text string").repartition(3)).collect()
-    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs)
-
-
-def test_a_large_group_and_blocks(spark, make, monkeypatch):
+    got = M.near_duplicates(spark.createDataFrame(docs, "id long, text string").repartition(3), percent).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, percent)
+
+
+def test_the_threshold_is_four_fifths(spark, make):
+    """One word changed in the middle of n costs five shingles: at 0.8 and not below links, and the query's contract links at 0.85."""
+    w = make(31)
+    docs = []
+    for k, n in enumerate((48, 49, 65, 66, 67, 200)):
+        words = w(n).split()
+        docs += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[: n // 2], w(1) + "x", *words[n // 2 + 1 :]]))]
+    rows = spark.createDataFrame(docs, "id long, text string")
+    assert M.PERCENT == 80 and M.OP3_PERCENT == 85
+    found = [sum(r["component_id"] != r["id"] for r in M.near_duplicates(rows, p).collect()) for p in (80, 85)]
+    assert found == [sum(i != c for i, (_, c) in brute(docs, p).items()) for p in (80, 85)] and found[0] > found[1] > 0
+
+
+def test_rows_that_share_a_doc_id(spark, make):
+    """They are one document: what any of them is like is linked with all."""
+    w = make(32)
+    a, b, c = w(80), w(80), w(80)
+    rows = [(1, a), (1, b), (3, b + " more"), (5, a + " more"), (7, c), (9, c), (9, b), (9, b), (11, None), (11, c + " x"), (13, w(80))]
+    got = M.near_duplicates(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert sorted((r["id"], r["component_id"]) for r in got) == sorted((i, 13 if i == 13 else 1) for i, _ in rows)
+    kept = M.near_dedup(spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, `a.b` string"))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 13} and kept.columns == ["doc_id", "text", "a.b"]
+
+
+@pytest.mark.parametrize("most_bits", [1 << 29, 1 << 16, 64])  # the last is too few to be of use
+def test_a_large_group_and_blocks(spark, make, monkeypatch, most_bits):
     """Near copies of one text, most of which link through others only; blocks are smaller than the group."""
     monkeypatch.setattr(M, "BITS_BLOCK", 16)
     monkeypatch.setattr(M, "BLOCK", 8)
     monkeypatch.setattr(M, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(M, "MOST_BITS", most_bits)
     w, rng = make(5), random.Random(5)
     base, docs = w(120).split(), []
     for i in range(70):
