@@ -1,8 +1,9 @@
 """Token ids of whole texts with the public lower-casing word tokenizer, by way of the distinct words of the texts.
 
 The tokenizer cuts a text into words, single digits and runs of marks, and merges only inside these. They are tokenised
-once for each worker process, many in one call, and looked up from then on; the table of them is emptied when it is full.
-Texts with letters beyond Latin-1 or with the tokenizer's special strings go to the tokenizer as they are.
+once for each worker process, many in one call, and looked up from then on; the table of them is emptied when it is full. Cutting,
+hashing and looking up are numpy over all characters of many texts at once: a part's hashes, of 64 bits each and two of them, are
+differences of running sums. Texts with letters beyond Latin-1 or with the tokenizer's special strings go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -16,12 +17,21 @@ import numpy as np
 
 from strandlake.llm.common import keep_in_worker
 
-#: Words that a worker keeps, about 75 MB, and characters that are taken in at once.
-MOST_WORDS = 300_000
-CHARS_AT_ONCE = 1 << 20
-_LETTER = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ"
-_NUMBER = "0-9²³¹¼-¾"
-_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r \x85\xa0{_LETTER}{_NUMBER}]+")
+#: Words that a worker keeps, about 40 MB with their table, slots of its table for them, and characters that are taken in at once.
+MOST_WORDS, SLOTS = 600_000, 1 << 20
+CHARS_AT_ONCE = 1 << 18
+_LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_LATIN = bytes(range(256)).decode("latin-1")
+_LOWER = _LATIN.lower().encode("latin-1")
+#: Kinds of lower-case characters: 0 white space, 1 letters, 2 digits, 3 marks.
+_KIND = np.array([0 if c in "\t\n\x0b\x0c\r \x85\xa0" else 1 if re.match(f"[{_LETTER}]", c) else 2 if re.match(f"[{_NUMBER}]", c) else 3 for c in _LATIN], np.uint8)
+#: Endings that are cut off with their apostrophe.
+_SHORT = ("s", "t", "m", "d", "re", "ve", "ll")
+_rng = np.random.default_rng(20240310)
+#: Of two hashes: a number for each character, and what a place multiplies it by.
+_VALUES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = tuple(int(x) * 8 + 5 for x in _rng.integers(1, 1 << 60, 2))
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple[str, bool], PartTokenizer] = {}
 
 
@@ -47,16 +57,35 @@ def plain(text: str) -> bool:
     return "<|" not in text
 
 
-class Numbers(dict):
-    """Words in order of appearance; an unknown one gets the next number and is noted in ``new``."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base squared and so on, modulo 2 ** 64."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:  # the first ones times the power where they end
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
+    return out
+
+
+def parts_at(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and ends of the parts of lower-case Latin-1 text, which ends with white space."""
+    kind = _KIND[low]
+    change = kind[1:] != kind[:-1]
+    start, end = np.empty(len(low), bool), np.empty(len(low), bool)
+    start[0], end[-1] = True, False
+    start[1:], end[:-1] = change | (kind[1:] == 2), change | (kind[:-1] == 2)
+    start &= kind != 0
+    end &= kind != 0
+    quote = np.flatnonzero((low == 39) & start)  # the first of its marks, so that no other mark takes it
+    if len(quote):
+        around = np.concatenate([low, np.zeros(3, np.uint8)])
+        for tail in _SHORT:
+            at = quote[(around[quote[:, None] + np.arange(1, len(tail) + 1)] == np.frombuffer(tail.encode(), np.uint8)).all(axis=1)]
+            last = at + len(tail)
+            end[at], start[at + 1], end[last] = False, False, True
+            start[last + 1] = kind[last + 1] != 0
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
 class PartTokenizer:
@@ -75,25 +104,56 @@ class PartTokenizer:
         self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": split}))
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith("</w>")]] = True
+        self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
         self._clear()
 
     def _clear(self) -> None:
-        self.index = Numbers()
+        self.key, self.slot = np.zeros((2, SLOTS), np.uint64), np.full(SLOTS, -1, np.int32)
         self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
-        self.used = 0
-
-    def _places(self, parts: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-
-    def _learn(self) -> None:
-        """Takes in the words that were looked up in vain."""
-        new = self.index.new
+        self.n = self.used = 0
+
+    def _hashes(self, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        while len(self.powers[0][0]) <= len(low):
+            self.powers = [tuple(powers(x, 2 * len(self.powers[0][0])) for x in (b, pow(b, -1, 1 << 64))) for b in _BASES]
+        out, upto = np.empty((2, len(first)), np.uint64), np.zeros(len(low) + 1, np.uint64)
+        for k in range(2):
+            np.cumsum(_VALUES[k][low] * self.powers[k][0][: len(low)], out=upto[1:])
+            out[k] = (upto[end] - upto[first]) * self.powers[k][1][first]
+        return out
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """The number of each part, -1 where it is not known."""
+        out, at = np.full(h.shape[1], -1, np.int64), ((h[0] * _SPREAD) >> np.uint64(44)).astype(np.int64)
+        left = np.arange(h.shape[1])
+        while len(left):
+            here = at[left]
+            there = self.slot[here]
+            hit = (there >= 0) & (self.key[0][here] == h[0][left]) & (self.key[1][here] == h[1][left])
+            out[left[hit]] = there[hit]
+            more = (there >= 0) & ~hit
+            left = left[more]
+            at[left] = (here[more] + 1) & (SLOTS - 1)
+        return out
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Takes different parts into the table."""
+        at, left = ((h[0] * _SPREAD) >> np.uint64(44)).astype(np.int64), np.arange(h.shape[1])
+        while len(left):
+            free = left[self.slot[at[left]] < 0]
+            _, once = np.unique(at[free], return_index=True)
+            new = free[once]
+            self.slot[at[new]] = number[new]
+            self.key[:, at[new]] = h[:, new]
+            left = np.setdiff1d(left, new, assume_unique=True)
+            at[left] = (at[left] + 1) & (SLOTS - 1)
+
+    def _learn(self, h: np.ndarray, new: list[str]) -> None:
         ids = np.array(self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(new):
             raise ValueError("words and word ends differ")
         size = np.diff(last, prepend=-1)
-        n, total = len(self.index) - len(new), len(ids)
+        n, total = self.n, len(ids)
         while len(self.start) < n + len(new):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
         while len(self.ids) < self.used + total:
@@ -101,8 +161,23 @@ class PartTokenizer:
         self.ids[self.used : self.used + total] = ids
         self.size[n : n + len(new)] = size
         self.start[n : n + len(new)] = self.used + last + 1 - size
+        self._put(h, np.arange(n, n + len(new)))
         self.used += total
-        self.index.new = []
+        self.n += len(new)
+
+    def _numbers(self, raw: bytes, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = self._hashes(low, first, end)
+        at = self._places(h)
+        while (unknown := np.flatnonzero(at < 0)).size:
+            _, once = np.unique(h[0][unknown], return_index=True)
+            if self.n and self.n + len(once) > MOST_WORDS:
+                self._clear()
+                at[:] = -1
+                continue
+            new = unknown[np.sort(once)]
+            self._learn(h[:, new], [raw[a:b].decode("latin-1") for a, b in zip(first[new].tolist(), end[new].tolist(), strict=True)])
+            at[unknown] = self._places(h[:, unknown])
+        return at
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -111,19 +186,17 @@ class PartTokenizer:
         """Ids of each text; of texts of up to about CHARS_AT_ONCE characters in all, a longer one goes by itself."""
         if len(texts) == 1 and len(texts[0] or "") > CHARS_AT_ONCE:
             return [np.concatenate([self.encode_all([x])[0] for x in pieces_of(texts[0])])] if plain(texts[0]) else [self._whole(texts[0])]
-        easy = [t is not None and plain(t) for t in texts]
-        parts = [_PARTS.findall(t.lower()) if e else [] for t, e in zip(texts, easy, strict=True)]
-        flat = [p for x in parts for p in x]
-        at = self._places(flat)
-        if len(self.index) > MOST_WORDS and len(self.index) > len(self.index.new):
-            self._clear()
-            at = self._places(flat)
-        if self.index.new:
-            self._learn()
+        easy = [t is not None and len(t) <= 4 * CHARS_AT_ONCE and plain(t) for t in texts]
+        given = [t.encode("latin-1") if e else b"" for t, e in zip(texts, easy, strict=True)]
+        raw = b"\n".join([*given, b""]).translate(_LOWER)
+        low = np.frombuffer(raw, np.uint8)
+        first, end = parts_at(low)
+        at = self._numbers(raw, low, first, end)
         size = self.size[at]
         upto = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[at] - (upto - size), size) + np.arange(int(size.sum()))]
-        cuts = np.r_[0, upto][np.cumsum([len(x) for x in parts])]
+        edges = np.cumsum([len(x) + 1 for x in given])
+        cuts = np.r_[0, upto][np.searchsorted(first, edges)]
         out = np.split(ids, cuts[:-1])
         return [x if e else self._whole(t or "") for x, e, t in zip(out, easy, texts, strict=True)]
 
