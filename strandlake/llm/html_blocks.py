@@ -40,7 +40,7 @@ _END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW}
 Path = tuple[tuple[str, str], ...]
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     path: Path

@@ -9,7 +9,8 @@ are known. Names of parts are often left out or meaningless there, so that order
 the tables is used for training. TRAIN_PAGES bounds the sample.
 
 Defined cases: null or empty html, or a page without main text, gives the empty string; blocks are cut as html_blocks says;
-white space is ``[\\x20\\x09-\\x0D]``; pages of any length are read whole; repeated rows are extracted each.
+white space is ``[\\x20\\x09-\\x0D]``; pages of any length are read whole, with bounded inputs at a time; repeated rows are extracted
+each; a given column ``text`` gives way to the extracted one, other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm.common import table
 from strandlake.llm.html_blocks import BREAKING, Block, Path, blocks_of
@@ -32,8 +35,10 @@ INPUTS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 20
 TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 900, 8, 30, 0.01, 7
 MOST_CACHED = 200_000
-#: Pages that are labelled together, and characters of them.
+#: Pages that are taken apart together, and characters of them.
 PAGES_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 21
+#: Blocks that are inputs of the machine at once, with those that pad shorter pages: 1,600 bytes each, and as many again for states.
+CELLS_AT_ONCE = 8192
 
 _TOKEN = re.compile(r"[a-z]+")
 _paths: dict[Path, np.ndarray] = {}
@@ -61,9 +66,11 @@ def path_vector(path: Path) -> np.ndarray:
     return found
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), INPUTS))
-    for i, b in enumerate(blocks):
+def vectors(blocks: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Inputs of a page's blocks, or of those from lo up to hi."""
+    some = blocks[lo:hi]
+    out = np.zeros((len(some), INPUTS))
+    for i, b in enumerate(some):
         words = b.text.lower().split()
         v = out[i]
         v[:PATH_DIMS] = path_vector(b.path)
@@ -73,7 +80,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         sums = np.bincount([h[0] for h in hashed], [h[1] for h in hashed], minlength=WORD_DIMS) if hashed else np.zeros(WORD_DIMS)
         v[PATH_DIMS : PATH_DIMS + WORD_DIMS] = sums / (1 + np.linalg.norm(sums))
         n = len(b.text)
-        v[-MEASURES:] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, b.linked / max(1, n), b.text[-1] in ".!?:;…\"”", "©" in b.text or "|" in b.text, i / len(blocks), 1.0 if i == 0 else 0.0, min(1.0, len(b.path) / 12))
+        v[-MEASURES:] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, b.linked / max(1, n), b.text[-1] in ".!?:;…\"”", "©" in b.text or "|" in b.text, (lo + i) / len(blocks), 1.0 if lo + i == 0 else 0.0, min(1.0, len(b.path) / 12))
     return out
 
 
@@ -90,11 +97,12 @@ class Labeller:
         self.p["out"] = rng.standard_normal(2 * hidden) * 0.1
         self.p["bias"] = np.zeros(1)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """x of (time, page, input); where mask is 0 states pass by unchanged."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """States, what the gradient needs, and the last state and cell, from which more may go on. x of (time, page, input); where mask is 0 states pass by unchanged."""
         n, h = x.shape[1], self.h
         gates = x @ self.p["x" + d] + self.p["c" + d]
-        state, cell, states, kept = np.zeros((n, h)), np.zeros((n, h)), np.zeros((len(x), n, h)), []
+        state, cell = start or (np.zeros((n, h)), np.zeros((n, h)))
+        states, kept = np.zeros((len(x), n, h)), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             a = gates[t] + state @ self.p["h" + d]
             i, f, o = (1 / (1 + np.exp(-np.clip(a[:, k * h : (k + 1) * h], -30, 30))) for k in range(3))
@@ -105,7 +113,18 @@ class Labeller:
                 kept.append((t, i, f, o, g, cell, out, state, m))
             cell, state = np.where(m, new, cell), np.where(m, o * out, state)
             states[t] = state
-        return states, kept
+        return states, kept, (state, cell)
+
+    def scores_of_page(self, blocks: list[Block], step: int) -> np.ndarray:
+        """Scores of one page's blocks, of which so many are inputs at a time: each direction goes over the page with its state carried on."""
+        out, h = np.full(len(blocks), self.p["bias"][0]), self.h
+        for k, d in enumerate("fb"):
+            starts, carried = range(0, len(blocks), step), None
+            for lo in starts if d == "f" else reversed(starts):
+                x = vectors(blocks, lo, lo + step)[:, None]
+                states, _, carried = self._run(d, x, np.ones(x.shape[:2], bool), False, carried)
+                out[lo : lo + step] += states[:, 0] @ self.p["out"][k * h : (k + 1) * h]
+        return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(d, x, mask, False)[0] for d in "fb"], axis=2)
@@ -285,11 +304,18 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
 
 
 def label(pages: list[list[Block]], model: Labeller) -> list[np.ndarray]:
-    """Whether each block of each page is main text; pages of like length are read together."""
+    """Whether each block of each page is main text. Pages of like length are read together, a page that is longer by itself, part by part."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-    for lo in range(0, len(order), 64):
-        part = order[lo : lo + 64]
+    at = 0
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and (n + 1) * len(pages[order[at + n]]) <= CELLS_AT_ONCE:
+            n += 1
+        part, at = order[at : at + n], at + n
+        if n == 1:
+            out[part[0]] = model.scores_of_page(pages[part[0]], CELLS_AT_ONCE) > 0
+            continue
         x, mask = padded([vectors(pages[i]) for i in part])
         keep = model.scores(x, mask) > 0
         for k, i in enumerate(part):
@@ -302,26 +328,25 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     return ["\n\n".join(b.text for b, k in zip(f, keep, strict=True) if k) for f, keep in zip(found, label(found, model), strict=True)]
 
 
-def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """The pages, with their columns but for column, which text takes the place of."""
+def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
+    """The pages with the column ``into`` beside their others but for ``column``; another column of that name gives way to it."""
     given = pages.sparkSession.sparkContext.broadcast(trained())
-    others = [c for c in pages.columns if c != column]
-    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("__row"), F.col(f"`{column}`").alias("__html"))
+    others = [c for c in pages.columns if c.lower() not in (column.lower(), into.lower())]
+    rows = pages.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in others)).alias("__row"), F.col(f"`{column}`").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = size = 0
-            sizes = [len(x) if x is not None else 0 for x in b.column(1).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             for hi in range(1, b.num_rows + 1):
                 size += sizes[hi - 1]
-                if hi == b.num_rows or hi - lo == PAGES_AT_ONCE or size >= CHARS_AT_ONCE:
+                if hi == b.num_rows or hi - lo == PAGES_AT_ONCE or size + sizes[hi] > CHARS_AT_ONCE:
                     part = b.slice(lo, hi - lo)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(main_texts(part.column(1).to_pylist(), given.value), pa.string())], ["__row", "text"])
                     lo, size = hi, 0
 
-    kind = rows.schema["__row"].dataType.simpleString()
-    done = rows.mapInArrow(run, f"__row {kind}, text string")
-    return done.select(*(F.col("__row")[c].alias(c) for c in others), "text")
+    done = rows.mapInArrow(run, T.StructType([rows.schema["__row"], T.StructField("text", T.StringType())]))
+    return done.select(*(F.col("__row")[c].alias(c) for c in others), F.col("text").alias(into))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

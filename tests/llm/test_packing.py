@@ -12,7 +12,7 @@ from strandlake.llm import packing as K
 from strandlake.llm.token_ids import CHARS_AT_ONCE, PartTokenizer
 
 PATH = P.path("word_bpe_49k.json")
-ODD = ["", "Don't STOP, it's 3.14!!  ok", "naïve Ünï © ½ 42²", "日本語 text", "a<|endoftext|>b", "x" * 300, "\x00\x01 a\u2028b", "İstanbul ǅ ﬁ", "we're I'LL 'tis 'S", "tab\tnew\nline\x85nbsp\xa0z", "___--__ #$%", "it's' 's's"]
+ODD = ["", "Don't STOP, it's 3.14!!  ok", "naïve Ünï © ½ 42²", "日本語 text", "a<|endoftext|>b", "x" * 300, "\x00\x01 a\u2028b", "İstanbul ǅ ﬁ", "we're I'LL 'tis 'S", "tab\tnew\nline\x85nbsp\xa0z", "___--__ #$%", "it's' 's's", "a\x1cb\x1d c\x1e\x1f", "\x1f", "  lead and trail \n\x85", "x,y.z 'll've don't--it's 12ab34"]
 
 
 def plain(text):
