@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from strandlake.operators import chunking
 from strandlake.plans.knowledge_base import KnowledgeBase
-from strandlake.plans.outputs import hit_table
+from strandlake.plans.outputs import hit_table, persist
 from strandlake.plans.workflow import Run
 from strandlake.sources import legal_xhtml
 from strandlake.sources.config import Settings
@@ -71,7 +71,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         payload = run.start()
         while payload is not None:
             payload = run.resume("approve" if args.approve else input("Approve, or say what to change: "))
+        at = f"{s.output_dir}/{args.source}-{dt.datetime.now():%Y%m%d-%H%M%S}"
+        persist(run.outputs(), at)
         print(run.state["final_report"])
+        print(f"Written to {at}")
 
 
 if __name__ == "__main__":

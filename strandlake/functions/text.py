@@ -15,6 +15,8 @@ STOP_WORDS = tuple(
 TOKEN = "[a-z0-9]+"
 CITE_GROUP = r"\[([^\[\]]*?::[^\[\]]*?)\]"
 CITE_ID = r"^([a-z_]+::[A-Za-z0-9_.:-]+?)((?:\([a-z0-9]+\))*)$"
+RETRY_HINT = r"(?i)retry in ([\d.]+)s"
+MOST_DELAY = 60.0
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WHITE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -83,8 +85,8 @@ def snippet(body: Column, chars: int = 140) -> Column:
 
 def retry_delay(message: Column, attempt: Column) -> Column:
     """Seconds to wait: the server's hint and one more, else a growing delay of at most a minute."""
-    hint = F.regexp_extract(message, r"(?i)retry in ([\d.]+)s", 1)
-    return F.when(hint != "", F.try_add(hint.try_cast("double"), F.lit(1.0))).otherwise(F.least(F.pow(F.lit(2.0), attempt), F.lit(60.0)))
+    hint = F.regexp_extract(message, RETRY_HINT, 1)
+    return F.when(hint != "", F.try_add(hint.try_cast("double"), F.lit(1.0))).otherwise(F.least(F.pow(F.lit(2.0), attempt), F.lit(MOST_DELAY)))
 
 
 def parse_list(text: Column, most: int = 6) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.text import rstrip, strip
 from strandlake.schemas import METADATA
+from strandlake.staging import materialize
 
 # Sizes in characters, and the forms of headings and numbers.
 MOST_CHARS = 2000
@@ -116,27 +117,43 @@ def chunk_regulations(lines: DataFrame) -> DataFrame:
     return each.select("art_ord", "block", "part", chunk_id.alias("chunk_id"), F.concat(header, F.lit("\n\n"), body).alias("text"), body.alias("body"), F.lit("regulation").alias("kind"), "source", "citation", "article", "article_title", "chapter")
 
 
+# The words of a policy's text.
+POLICY_OWNER, POLICY_REVIEWED, POLICY_HEAD = "Owner: ", ". Last reviewed: ", "Internal policy "
+
+
 def chunk_policies(policies: DataFrame) -> DataFrame:
     """A chunk for each row of the register."""
     pid = strip(F.col("policy_id"))
-    body = F.concat(F.lit("Owner: "), F.coalesce("owner", F.lit("")), F.lit(". Last reviewed: "), F.coalesce("last_reviewed", F.lit("")), F.lit(".\n"), F.coalesce("summary", F.lit("")))
-    text = F.concat(F.lit("Internal policy "), pid, F.lit(" — "), "title", F.lit("\n"), body)
+    body = F.concat(F.lit(POLICY_OWNER), F.coalesce("owner", F.lit("")), F.lit(POLICY_REVIEWED), F.coalesce("last_reviewed", F.lit("")), F.lit(".\n"), F.coalesce("summary", F.lit("")))
+    text = F.concat(F.lit(POLICY_HEAD), pid, F.lit(" — "), "title", F.lit("\n"), body)
     return policies.select(F.concat(F.lit("policy::"), pid).alias("chunk_id"), text.alias("text"), body.alias("body"), F.lit("policy").alias("kind"), F.lit("policy_register").alias("source"), pid.alias("citation"), F.lit("").alias("article"), F.col("title").alias("article_title"), F.lit("").alias("chapter"))
 
 
 def corpus(regulations: DataFrame, policies: DataFrame) -> DataFrame:
-    """All chunks with their ordinal: documents by name, in their order, then the register in its own (policy rows by their id).
+    """All chunks with their ordinal: documents by name, in their order, then the register by its ids.
 
-    The ordinal is a number of places that sorts like the corpus: document, article, block, part. It has gaps but needs no sort
-    of all chunks in one task; documents are numbered by their names, of which there are few beside the chunks.
+    The ordinal is the place in the whole order, without gaps: chunks are sorted by (register or not, source, article, block, part, id)
+    into ranges, ranges are counted, and a chunk's ordinal is its place in its range and the size of the ranges before. No task sorts or
+    holds more than a range, and no number is packed into bits that a large corpus would run out of.
     """
-    docs = regulations.select("source").distinct()
-    numbered = docs.select("source", F.row_number().over(Window.orderBy("source")).alias("__doc"))
-    place = (F.col("__doc").cast("long") * (1 << 44)) + (F.col("art_ord").cast("long") * (1 << 28)) + ((F.col("block").cast("long") % (1 << 20)) * (1 << 8)) + F.least(F.col("part"), F.lit(255))
-    first = regulations.join(F.broadcast(numbered), "source").withColumn("ordinal", place)
-    last = policies.withColumn("ordinal", F.lit(1 << 62) + F.row_number().over(Window.partitionBy("source").orderBy("chunk_id")))
-    columns = ["ordinal", "chunk_id", "text", "body", *METADATA]
-    return first.select(*columns).unionByName(last.select(*columns))
+    columns = ["chunk_id", "text", "body", *METADATA]
+    place = ["__register", "source", "art_ord", "block", "part", "chunk_id"]
+    first = regulations.select(F.lit(0).alias("__register"), F.col("art_ord").cast("long"), F.col("block").cast("long"), F.col("part").cast("long"), *columns)
+    none = F.lit(0).cast("long")
+    last = policies.select(F.lit(1).alias("__register"), none.alias("art_ord"), none.alias("block"), none.alias("part"), *columns)
+    return with_ordinals(first.unionByName(last), place).select("ordinal", *columns)
+
+
+def with_ordinals(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ordinal: 0, 1, 2, ... in the order of columns that tell rows apart."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the range in the upper bits, the place in the lower 33; written, as another run would cut other ranges
+    numbered = materialize(ranged.withColumn("__n", F.monotonically_increasing_id()), "ordinals")
+    range_, at = F.shiftright("__n", 33), F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))
+    split = numbered.withColumns({"__range": range_, "__at": at}).drop("__n")
+    sizes = split.groupBy("__range").agg(F.count("*").alias("__k"))  # a row for each range
+    before = sizes.select("__range", F.coalesce(F.sum("__k").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return split.join(F.broadcast(before), "__range").withColumn("ordinal", F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
 
 
 def metadata(chunks: DataFrame) -> DataFrame:
@@ -148,13 +165,17 @@ def base_id(chunk_id: Column) -> Column:
     return F.regexp_replace(chunk_id, r"\.\d+$", "")
 
 
+def changed(column: str, by: str = "source", order: str = "ordinal") -> Column:
+    """Whether a column differs from the row before, nulls being equal; the first row differs."""
+    before = Window.partitionBy(by).orderBy(order)
+    return ~F.col(column).eqNullSafe(F.lag(column).over(before)) | (F.row_number().over(before) == 1)
+
+
 def outline(chunks: DataFrame) -> DataFrame:
     """source, outline: chapters and their articles, each article once, in order."""
     once = Window.partitionBy("source", "article").orderBy("ordinal")
     seen = chunks.withColumn("__k", F.row_number().over(once)).where("__k = 1")
-    before = F.lag("chapter").over(Window.partitionBy("source").orderBy("ordinal"))
-    changed = ~F.col("chapter").eqNullSafe(before)
-    entry = F.concat(F.when(changed, F.concat(F.lit("\n"), "chapter", F.lit("\n"))).otherwise(""), F.lit("  Article "), "article", F.lit(" — "), "article_title")
+    entry = F.concat(F.when(changed("chapter"), F.concat(F.lit("\n"), "chapter", F.lit("\n"))).otherwise(""), F.lit("  Article "), "article", F.lit(" — "), "article_title")
     rows = seen.select("source", "ordinal", entry.alias("__e"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "__e"))), lambda x: x["__e"]), "\n")
     return rows.groupBy("source").agg(strip(text).alias("outline"))
@@ -170,10 +191,24 @@ def fingerprint(chunks: DataFrame) -> DataFrame:
 
 
 def fingerprint_tree(chunks: DataFrame, buckets: int = 4096) -> DataFrame:
-    """The same purpose at any size: chunks are hashed where they are, then buckets of hashes, then these."""
-    leaves = chunks.select(F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).alias("b"), F.sha2(F.concat_ws("\x1f", F.col("ordinal").cast("string"), "chunk_id", "text"), 256).alias("h"))
-    nodes = leaves.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return nodes.agg(F.left(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("b").cast("string"), F.lit(":"), "h"))), ""), 256), F.lit(16)).alias("fingerprint"))
+    """The same purpose at any size: chunks are hashed where they are, then runs of them in order, then these."""
+    return _tree(chunks, F.col("text"), buckets)
+
+
+def _tree(chunks: DataFrame, value: Column, buckets: int) -> DataFrame:
+    """fingerprint of (ordinal, chunk_id, value). Hashes meet by bucket, over as many levels as it takes to have few of them in one place."""
+    leaves = chunks.select(F.xxhash64("ordinal", "chunk_id").alias("k"), F.sha2(F.concat_ws("\x1f", F.col("ordinal").cast("string"), "chunk_id", value), 256).alias("h"))
+    level, n = leaves, buckets * buckets
+    while n >= 1:
+        node = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
+        level = level.groupBy(F.pmod("k", F.lit(n)).alias("k")).agg(node.alias("h"))
+        n = n // buckets
+    return level.agg(F.left(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)), F.lit(16)).alias("fingerprint"))
+
+
+def metadata_fingerprint_tree(chunks: DataFrame, buckets: int = 4096) -> DataFrame:
+    """meta_fingerprint: the same purpose as metadata_fingerprint at any size."""
+    return _tree(chunks, F.to_json(F.struct(*sorted(METADATA))), buckets).withColumnRenamed("fingerprint", "meta_fingerprint")
 
 
 def metadata_fingerprint(chunks: DataFrame) -> DataFrame:

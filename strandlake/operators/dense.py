@@ -1,13 +1,19 @@
-"""Vectors: embedders, and exact nearest neighbours by cosine.
+"""Vectors: embedders, and nearest neighbours by cosine, exact or by an index of cells.
 
 An embedder has a name and makes arrays of doubles from a text column, in Arrow batches. Neighbours are exact: each task
-multiplies its vectors with a block of queries and hands on its k best for each query, so what is shuffled grows with queries
-and tasks, not with pairs. Blocks of queries are of bounded size; more queries are more blocks over the same scan.
+multiplies its vectors with blocks of queries and hands on its k best for each query, so what is shuffled grows with queries
+and tasks, not with pairs. Queries that are few go to every task; more of them are written in blocks of bounded size, and vectors
+meet each block in groups of tasks. Vectors and queries that are null, empty or hold non-finite components have no neighbours.
+
+CellIndex is the approximate way: centres are learned from a bounded sample, each vector lies in the cell of its nearest centre, and a
+query looks into the cells nearest to it.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -19,10 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.functions.text import MOST_DELAY, RETRY_HINT
 from strandlake.operators.lexical import DIGITS
 
-#: Bytes of query vectors that go to every task at once.
+#: Bytes of query vectors that go to every task at once, and that a block of more queries has, about.
 QUERY_BYTES = 32 << 20
+#: Vectors that one group of a block of queries is compared with, about.
+GROUP_VECTORS = 200_000
 MOST_TOKENS = 200_000
 
 
@@ -71,6 +80,12 @@ def hashed_counts(text: str | None, dim: int, known: dict[str, np.ndarray]) -> n
     return out[1::2] - out[::2]
 
 
+def signed_counts(text: Column, dim: int) -> Column:
+    """What a HashingEmbedder normalises: the signed count of each bucket."""
+    known: dict[str, np.ndarray] = {}
+    return F.pandas_udf(lambda texts: pd.Series([hashed_counts(t, dim, known) for t in texts]), T.ArrayType(T.LongType()))(text)
+
+
 _ASCII = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
@@ -93,31 +108,60 @@ def _hashed(dim: int) -> Callable[[pd.Series], pd.Series]:
     return run
 
 
+_queries_kept: dict[tuple[str, str], dict[str, np.ndarray]] = {}
+
+
+def seconds_to_wait(message: str, attempt: int) -> float:
+    """What functions.text.retry_delay says of a column, for a caller in a task."""
+    hint = re.search(RETRY_HINT, message)
+    try:
+        return float(hint[1]) + 1 if hint else min(2.0**attempt, MOST_DELAY)
+    except ValueError:
+        return min(2.0**attempt, MOST_DELAY)
+
+
 class RemoteEmbedder:
     """A hosted model behind a function of a list of texts and a task; answers are normalised and asked for in batches.
 
-    The function must be safe to pickle and does its own retries (functions.text.retry_delay tells how long to wait).
+    The function must be safe to pickle. A batch that fails is asked for again after the wait that the message tells, or a growing
+    one; a process keeps the vectors of queries, so that one that is repeated is not asked for again.
     """
 
-    BATCH = 100
-
-    def __init__(self, model: str, dim: int, call: Callable[[list[str], str], list[list[float]]]) -> None:
-        self.model, self.dim, self.call, self.name = model, dim, call, f"remote:{model}:{dim}"
+    BATCH, TRIES, MOST_KEPT = 100, 5, 10_000
+
+    def __init__(self, model: str, dim: int, call: Callable[[list[str], str], list[list[float]]], wait: Callable[[float], None] = time.sleep) -> None:
+        self.model, self.dim, self.call, self.name, self.wait = model, dim, call, f"remote:{model}:{dim}", wait
+
+    def _asked(self, some: list[str], task: str) -> list[np.ndarray]:
+        for k in range(self.TRIES):
+            try:
+                got = self.call(some, task)
+                break
+            except Exception as e:
+                if k == self.TRIES - 1:
+                    raise
+                self.wait(seconds_to_wait(str(e), k))
+        if len(got) != len(some):
+            raise ValueError(f"{len(got)} vectors for {len(some)} texts")
+        return [(v := np.asarray(x, float)) / (np.sqrt(v @ v) or 1.0) for x in got]
+
+    def vectors(self, texts: list[str], task: str) -> list[np.ndarray]:
+        """Of queries each is asked for once, as long as it is kept."""
+        kept = _queries_kept.setdefault((self.name, task), {}) if task == "query" else {}
+        wanted = list(dict.fromkeys(t for t in texts if t not in kept)) if task == "query" else texts
+        found = [v for lo in range(0, len(wanted), self.BATCH) for v in self._asked(wanted[lo : lo + self.BATCH], task)]
+        if task != "query":
+            return found
+        new = dict(zip(wanted, found, strict=True))
+        out = [kept[t] if t in kept else new[t] for t in texts]
+        if len(kept) + len(new) > self.MOST_KEPT:
+            kept.clear()
+        kept.update(list(new.items())[: self.MOST_KEPT])
+        return out
 
     def _column(self, text: Column, task: str) -> Column:
-        call, batch = self.call, self.BATCH
-
         def run(texts: pd.Series) -> pd.Series:
-            rows = []
-            for lo in range(0, len(texts), batch):
-                some = texts.iloc[lo : lo + batch].fillna("").tolist()
-                got = call(some, task)
-                if len(got) != len(some):
-                    raise ValueError(f"{len(got)} vectors for {len(some)} texts")
-                for v in got:
-                    v = np.asarray(v, float)
-                    rows.append(v / (np.sqrt(v @ v) or 1.0))
-            return pd.Series(rows)
+            return pd.Series(self.vectors(texts.fillna("").tolist(), task))
 
         return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(text)
 
@@ -137,50 +181,191 @@ def embed(docs: DataFrame, embedder: Embedder, text: str, name: str = "embedding
     return docs.withColumn(name, embedder.documents(F.col(text)))
 
 
-def _blocks(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of all queries, in blocks of bounded bytes. Queries are what the driver was asked, not the corpus."""
-    ids, rows, size, out = [], [], 0, []
-    for r in queries.select("query_id", "v").where("v IS NOT NULL").orderBy("query_id").toLocalIterator():
-        v = np.array(r["v"], float)
-        if v.size and np.isfinite(v).all():
-            ids.append(r["query_id"])
-            rows.append(v / (np.sqrt(v @ v) or 1.0))
-            size += v.nbytes
-        if size >= QUERY_BYTES:
-            out.append((np.array(ids, np.int64), np.array(rows)))
-            ids, rows, size = [], [], 0
-    return [*out, (np.array(ids, np.int64), np.array(rows))] if ids else out
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """vectors(id, ordinal, v) and queries(query_id, v) to query_id, id, ordinal, score, rank: the k most alike of each query."""
-    spark = vectors.sparkSession
-    kept = (vectors if where is None else vectors.where(where)).select(F.col("id"), F.col("ordinal").cast("long"), "v").where("v IS NOT NULL")
-    schema = T.StructType([T.StructField("query_id", T.LongType()), kept.schema["id"], T.StructField("ordinal", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = spark.createDataFrame([], schema)
-    for block in _blocks(queries):
-        found = found.unionByName(kept.mapInArrow(_best(spark, block, k), schema))
+def usable(v: Column) -> Column:
+    """Whether a vector has a direction to compare: some components, all of them finite."""
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def _unit(v: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths, of unit length; zeros stay."""
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(float)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, within: str | None = None) -> DataFrame:
+    """vectors(id, ordinal, v) and queries(query_id, v) to query_id, id, ordinal, score, rank: the k most alike of each query.
+
+    within: a column of the vectors that must equal the query's own column ``within``; it is a part of the key that both are compared by.
+    """
+    kept = vectors if where is None else vectors.where(where)
+    key = F.xxhash64(within).alias("key") if within else F.lit(0).cast("long").alias("key")
+    kept = kept.select(F.col("id"), F.col("ordinal").cast("long"), F.col("v").cast("array<double>"), key).where(usable(F.col("v")))
+    key = F.xxhash64("within").alias("key") if within else F.lit(0).cast("long").alias("key")
+    asked = queries.select(F.col("query_id").cast("long"), F.col("v").cast("array<double>"), key).where(usable(F.col("v")))
+    n, size = asked.agg(F.count("*"), F.sum(F.size("v") * 8)).first()
+    if not n:
+        return _ranked(vectors.sparkSession.createDataFrame([], _hit_schema(kept)), k)
+    if size <= QUERY_BYTES:
+        alike: dict[tuple[int, int], tuple[list, list]] = {}
+        for r in asked.orderBy("query_id").toLocalIterator():
+            names, rows = alike.setdefault((r["key"], len(r["v"])), ([], []))
+            names.append(r["query_id"])
+            rows.append(r["v"])
+        given = vectors.sparkSession.sparkContext.broadcast({d: (np.array(names, np.int64), _normal(np.array(rows))) for d, (names, rows) in alike.items()})
+        return _ranked(kept.mapInArrow(_best(given, k), _hit_schema(kept)), k)
+    # each block of queries meets each group of vectors in a task of its own
+    blocks, groups = -(-size // QUERY_BYTES), -(-kept.count() // GROUP_VECTORS) or 1
+    q = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(0).alias("part"), "query_id", F.lit(None).cast(kept.schema["id"].dataType).alias("id"), F.lit(None).cast("long").alias("ordinal"), "v", "key")
+    x = kept.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("part"), F.lit(None).cast("long").alias("query_id"), "id", "ordinal", "v", "key")
+    met = q.unionByName(x).repartition("block", "group").sortWithinPartitions("block", "group", "part")
+    return _ranked(met.mapInArrow(_best_in_groups(k), _hit_schema(kept)), k)
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _hit_schema(kept: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query_id", T.LongType()), kept.schema["id"], T.StructField("ordinal", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(spark: SparkSession, block: tuple[np.ndarray, np.ndarray], k: int):
-    given = spark.sparkContext.broadcast(block)
+def _hits(part: pa.RecordBatch, names: np.ndarray, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a batch for each query, and what ties with the last of them."""
+    for lo in range(0, part.num_rows, step := max(1, (1 << 24) // len(q))):
+        s_ = part.slice(lo, step)
+        s = np.round(q @ _unit(s_.column("v")).T, DIGITS)
+        ordinal = s_.column("ordinal").to_numpy(zero_copy_only=False)
+        # the worst score that can still be among the k best; all that tie with it go on
+        floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        i, j = np.nonzero(s >= floor[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(names[i]), s_.column("id").take(pa.array(j)), pa.array(ordinal[j]), pa.array(s[i, j])], ["query_id", "id", "ordinal", "score"])
+
+
+def _alike(b: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """Rows that can be compared: of one key and one length."""
+    lengths, keys = b.column("v").value_lengths().to_numpy(zero_copy_only=False), b.column("key").to_numpy(zero_copy_only=False)
+    for key, d in np.unique(np.stack([keys, lengths.astype(np.int64)], axis=1), axis=0).tolist():
+        yield (key, d), b.filter(pa.array((lengths == d) & (keys == key)))
+
+
+def _best(given, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, part in _alike(b):
+                if d in given.value:
+                    yield from _hits(part, *given.value[d], k)
+
+    return run
+
+
+def _best_in_groups(k: int):
+    """Rows in order of (block, group, part): queries first, and the vectors after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = given.value
+        now, held, ready = None, {}, {}
         for b in batches:
-            lengths = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(lengths == q.shape[1]))
-            for lo in range(0, b.num_rows, step := max(1, (1 << 24) // len(q))):
-                part = b.slice(lo, step)
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(float)
-                x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                s = np.round(q @ x.T, DIGITS)
-                ordinal = part.column("ordinal").to_numpy(zero_copy_only=False)
-                # the worst score that can still be among the k best; all that tie with it go on
-                floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                i, j = np.nonzero(s >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), part.column("id").take(pa.array(j)), pa.array(ordinal[j]), pa.array(s[i, j])], ["query_id", "id", "ordinal", "score"])
+            key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "group", "part")], axis=1)
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), b.num_rows], strict=True):
+                part = b.slice(lo, hi - lo)
+                if tuple(key[lo, :2]) != now:
+                    now, held, ready = tuple(key[lo, :2]), {}, {}
+                for d, s in _alike(part):
+                    if key[lo, 2] == 0:
+                        held.setdefault(d, []).append((s.column("query_id").to_numpy(zero_copy_only=False), _unit(s.column("v"))))
+                    elif d in held:
+                        if d not in ready:
+                            ready[d] = tuple(np.concatenate(x) for x in zip(*held[d], strict=True))
+                        yield from _hits(s, *ready[d], k)
+
+    return run
+
+
+class CellIndex:
+    """Approximate neighbours: the cells of centres that spherical k-means finds in a sample.
+
+    SAMPLE bounds the sample that centres are learned from; every vector is in the index, in one cell. A cell's rows are files of their
+    own, so that a search reads the cells that its queries look into and no others. probes of them trade time for recall; the test
+    measures it against exact neighbours.
+    """
+
+    SAMPLE, ROUNDS = 50_000, 12
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, vectors: DataFrame, cells: int = 256, seed: int = 11) -> None:
+        """vectors(id, ordinal, v, ...) of one length; other columns are kept for filters."""
+        good = vectors.where(usable(F.col("v")))
+        n = good.count()
+        share = min(1.0, self.SAMPLE / max(1, n))
+        some = good.select("v").where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).limit(2 * self.SAMPLE)
+        made = some.select(F.col("v").cast("array<double>")).repartition(1).mapInArrow(_centres(cells, self.ROUNDS, seed), "cell int, centre array<double>")
+        made.write.mode("overwrite").parquet(f"{self.path}/centres")
+        given = self.spark.sparkContext.broadcast(self._centres_kept())
+        placed = good.withColumn("cell", F.pandas_udf(_nearest_cell(given), T.IntegerType())("v"))
+        placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors")
+
+    def _centres_kept(self) -> np.ndarray:
+        rows = self.spark.read.parquet(f"{self.path}/centres").orderBy("cell").collect()  # as many as cells
+        return np.array([r["centre"] for r in rows], float)
+
+    def search(self, queries: DataFrame, k: int, probes: int = 16, where: Column | None = None) -> DataFrame:
+        """query_id, id, ordinal, score, rank. Queries meet the rows of their cells by an equal join, so that any number of them may be asked."""
+        given = self.spark.sparkContext.broadcast(self._centres_kept())
+        asked = queries.where(usable(F.col("v"))).select(F.col("query_id").cast("long"), F.col("v").cast("array<double>").alias("q"))
+        looks = asked.withColumn("cell", F.explode(F.pandas_udf(_cells_of(given, probes), T.ArrayType(T.IntegerType()))("q")))
+        kept = self.spark.read.parquet(f"{self.path}/vectors")
+        kept = kept if where is None else kept.where(where)
+        wanted = [r["cell"] for r in looks.select("cell").distinct().collect()]  # as many as cells
+        met = kept.where(F.col("cell").isin(wanted)).select("cell", "id", F.col("ordinal").cast("long"), F.col("v").cast("array<double>").alias("v")).join(looks, "cell")
+        scored = met.select("query_id", "id", "ordinal", F.pandas_udf(_cosines, T.DoubleType())("q", "v").alias("score"))
+        return _ranked(scored, k)
+
+
+def _centres(cells: int, rounds: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [_unit(b.column("v")) for b in batches if b.num_rows]
+        if not rows:
+            return
+        x = np.concatenate(rows)
+        x = x[np.lexsort(x.T[:3])]  # in whatever order they came
+        rng = np.random.default_rng(seed)
+        c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+        for _ in range(rounds):
+            at = np.concatenate([np.argmax(x[lo : lo + 8192] @ c.T, axis=1) for lo in range(0, len(x), 8192)])
+            sums = np.zeros_like(c)
+            np.add.at(sums, at, x)
+            empty = np.bincount(at, minlength=len(c)) == 0
+            sums[empty] = x[rng.choice(len(x), int(empty.sum()))]
+            c = _normal(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(c)), pa.int32()), pa.array(list(c), pa.list_(pa.float64()))], ["cell", "centre"])
+
+    return run
+
+
+def _nearest_cell(given) -> Callable[[pd.Series], pd.Series]:
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(np.argmax(np.stack(v.to_numpy()).astype(float) @ given.value.T, axis=1) if len(v) else [], dtype="int32")
 
     return run
+
+
+def _cells_of(given, probes: int) -> Callable[[pd.Series], pd.Series]:
+    def run(v: pd.Series) -> pd.Series:
+        near = np.argsort(-(np.stack(v.to_numpy()).astype(float) @ given.value.T), axis=1, kind="stable")[:, :probes] if len(v) else []
+        return pd.Series([r.astype(np.int32) for r in near])
+
+    return run
+
+
+def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype=float)
+    x, y = _normal(np.stack(a.to_numpy())), _normal(np.stack(b.to_numpy()))
+    return pd.Series(np.round(np.einsum("ij,ij->i", x, y), DIGITS))

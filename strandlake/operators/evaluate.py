@@ -17,8 +17,8 @@ def first_relevant(cases: DataFrame, hits: DataFrame, relevant: Column) -> DataF
     relevant is a test over columns of both; every case counts for every mode of the hits.
     """
     good = hits.join(cases, "query_id").where(relevant).groupBy("query_id", "mode").agg(F.min("rank").alias("rank"))
-    modes = hits.select("mode").distinct()
-    every = cases.join(modes, F.lit(True))  # a few modes for each case
+    modes = [r["mode"] for r in hits.select("mode").distinct().orderBy("mode").collect()]  # a few
+    every = cases.withColumn("mode", F.explode(F.array(*map(F.lit, modes)).cast("array<string>")))
     return every.join(good, ["query_id", "mode"], "left")
 
 
@@ -42,11 +42,11 @@ def unknown_labels(cases: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def run(retriever, cases: DataFrame, chunks: DataFrame, modes: tuple[str, ...] = ("bm25", "dense", "hybrid"), depth: int = DEPTH) -> DataFrame:
-    """query_id, mode, type, rank of cases(query_id, q, source, articles, type), each searched within the chunks of its source.
+    """query_id, mode, type, q, rank of cases(query_id, q, source, articles, type), each searched within the chunks of its source.
 
-    Cases are grouped by source, of which there are few, as the filter is the source's.
+    All cases are one batch in each mode, whatever the number of sources: a case's source goes with it and meets the chunks' in the
+    search, before ranks are cut.
     """
-    sources = [r[0] for r in cases.select("source").distinct().orderBy("source").collect()]
-    parts = [retriever.search(cases.where(F.col("source") == s), depth, m, (F.col("kind") == "regulation") & (F.col("source") == s)).withColumn("mode", F.lit(m)) for s in sources for m in modes]
+    parts = [retriever.search(cases.select("query_id", "q", F.col("source").alias("within")), depth, m, F.col("kind") == "regulation", within="source").withColumn("mode", F.lit(m)) for m in modes]
     hits = reduce(DataFrame.unionByName, parts).join(chunks.select(F.col("chunk_id").alias("id"), "article"), "id")
     return first_relevant(cases, hits, F.array_contains("articles", F.col("article"))).select("query_id", "mode", "type", "q", "rank")

@@ -51,15 +51,18 @@ class Retriever:
     vectors: DataFrame
     embedder: dense.Embedder
 
-    def search(self, queries: DataFrame, top_k: int = 5, mode: str = "hybrid", where: Column | None = None, depth: int = DEPTH) -> DataFrame:
-        """query_id, id, score, bm25_rank, dense_rank, rank. Each ranking counts to its depth, whatever top_k is."""
+    def search(self, queries: DataFrame, top_k: int = 5, mode: str = "hybrid", where: Column | None = None, depth: int = DEPTH, within: str | None = None) -> DataFrame:
+        """query_id, id, score, bm25_rank, dense_rank, rank. Each ranking counts to its depth, whatever top_k is.
+
+        within: a kept column that must equal the query's own column ``within``.
+        """
         mode = resolve_mode(mode, self.embedder.name)
         rankings = {}
         if mode in ("hybrid", "bm25"):
-            rankings["bm25"] = lexical.search(self.index, queries, depth, where)
+            rankings["bm25"] = lexical.search(self.index, queries, depth, where, within)
         if mode in ("hybrid", "dense"):
-            asked = queries.select("query_id", self.embedder.queries(F.col("q")).alias("v"))
-            rankings["dense"] = dense.nearest(self.vectors, asked, depth, where)
+            asked = queries.select("query_id", self.embedder.queries(F.col("q")).alias("v"), *(["within"] if within else []))
+            rankings["dense"] = dense.nearest(self.vectors, asked, depth, where, within)
         found = ranked(fuse(rankings), list(rankings), top_k)
         absent = [F.lit(None).cast("int").alias(f"{n}_rank") for n in ("bm25", "dense") if n not in rankings]
         return found.select("*", *absent).select("query_id", "id", "score", F.col("bm25_rank").cast("int"), F.col("dense_rank").cast("int"), "rank")

@@ -14,6 +14,10 @@ from strandlake.operators.chunking import base_id
 
 VERIFIED, NOT_RETRIEVED, UNKNOWN = "verified", "not_retrieved", "unknown"
 MOST_EVIDENCE = 30
+# The words and marks of a rendered report.
+SOURCES_HEAD = "\n\n## Sources\n\n"
+NEVER_RETRIEVED, NOT_FOUND, UNVERIFIED = " — **cited but never retrieved**", "` — **not found in corpus**", " — unverified"
+CHECKED_HEAD, CHECKED_TAIL = "_Citation check: ", " citations verified against retrieved source text._"
 
 
 def extract(texts: DataFrame, key: str = "doc", column: str = "text") -> DataFrame:
@@ -104,8 +108,8 @@ def render(texts: DataFrame, chunks: DataFrame, checked: DataFrame, key: str = "
     named = first.withColumn("chunk_id", F.col("__f.chunk_id")).join(chunks.select("chunk_id", "citation", "article_title"), "chunk_id", "left")
     label = F.coalesce("citation", "cid")
     title = F.when(F.coalesce("article_title", F.lit("")) != "", F.concat(F.lit(" — "), "article_title")).otherwise("")
-    status = F.when(F.col("status") != VERIFIED, " — **cited but never retrieved**").otherwise("")
-    entry = F.when(F.col("citation").isNull(), F.concat(F.lit("- `"), "cid", F.lit("` — **not found in corpus**"))).otherwise(F.concat(F.lit("- "), "citation", title, F.lit(" (`"), "cid", F.lit("`)"), status))
+    status = F.when(F.col("status") != VERIFIED, NEVER_RETRIEVED).otherwise("")
+    entry = F.when(F.col("citation").isNull(), F.concat(F.lit("- `"), "cid", F.lit(NOT_FOUND))).otherwise(F.concat(F.lit("- "), "citation", title, F.lit(" (`"), "cid", F.lit("`)"), status))
     by = named.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("cid", F.struct(label.alias("label"), (F.col("status") != VERIFIED).alias("failed"))))).alias("__m"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: F.concat(x["e"], F.lit("\n"))), "").alias("__s"),
@@ -116,12 +120,12 @@ def render(texts: DataFrame, chunks: DataFrame, checked: DataFrame, key: str = "
 
     def labelled(token: Column) -> Column:
         found = F.element_at("__m", cite_id(token))
-        return F.concat(found["label"], cite_points(token), F.when(found["failed"], " — unverified").otherwise(""))
+        return F.concat(found["label"], cite_points(token), F.when(found["failed"], UNVERIFIED).otherwise(""))
 
     def piece(x: Column, i: Column) -> Column:
         labels = F.array_distinct(F.transform(cite_tokens(x), labelled))
         return F.when(i % 2 == 0, x).when(F.size(labels) > 0, F.concat(F.lit("["), F.array_join(labels, "; "), F.lit("]"))).otherwise(F.concat(F.lit("["), x, F.lit("]")))
 
     body = F.when(F.col("__m").isNull(), F.col("text")).otherwise(F.array_join(F.transform(_pieces(F.col("text")), piece), ""))
-    counted = F.concat(F.lit("_Citation check: "), F.coalesce("__v", F.lit(0)).cast("string"), F.lit("/"), F.coalesce("__n", F.lit(0)).cast("string"), F.lit(" citations verified against retrieved source text._"))
-    return rows.select(key, F.concat(rstrip(body), F.lit("\n\n## Sources\n\n"), F.coalesce("__s", F.lit("")), F.lit("\n"), counted, F.lit("\n")).alias("rendered"))
+    counted = F.concat(F.lit(CHECKED_HEAD), F.coalesce("__v", F.lit(0)).cast("string"), F.lit("/"), F.coalesce("__n", F.lit(0)).cast("string"), F.lit(CHECKED_TAIL))
+    return rows.select(key, F.concat(rstrip(body), F.lit(SOURCES_HEAD), F.coalesce("__s", F.lit("")), F.lit("\n"), counted, F.lit("\n")).alias("rendered"))

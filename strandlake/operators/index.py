@@ -64,12 +64,20 @@ class Index:
         return True
 
     def refresh(self, chunks: DataFrame, rebuild: bool = False) -> str:
-        """built, synced or reused."""
-        fp, meta = chunking.fingerprint(chunks).first()[0], chunking.metadata_fingerprint(chunks).first()[0]
-        if rebuild or not self.is_fresh(fp, chunks.count()):
-            self.build(chunks, fp, meta)
-            return "built"
-        return "synced" if self.sync_metadata(chunks, meta) else "reused"
+        """built, synced or reused. Chunks are made once, into a table that is removed afterwards, and hashed, counted and embedded from it."""
+        at = f"{self.root}/incoming-{uuid.uuid4().hex[:12]}"
+        try:
+            chunks.write.parquet(at)
+            chunks = self.spark.read.schema(chunks.schema).parquet(at)
+            both = chunking.fingerprint_tree(chunks).join(chunking.metadata_fingerprint_tree(chunks), F.lit(True)).first()  # a row each
+            n = chunks.count()
+            if rebuild or not self.is_fresh(both["fingerprint"], n):
+                self.build(chunks, both["fingerprint"], both["meta_fingerprint"])
+                return "built"
+            return "synced" if self.sync_metadata(chunks, both["meta_fingerprint"]) else "reused"
+        finally:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def _now(self) -> tuple[dict, str]:
         found = self.info()

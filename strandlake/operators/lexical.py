@@ -3,7 +3,8 @@
 An index is three tables: postings (a row for each term of a document, with its count and the document's length), terms (with
 document frequency and idf) and one row of corpus statistics. They are columns of Parquet when kept. Searching is a batch: the
 queries' terms are a small table that is sent to the postings, so only postings of wanted terms go on, and the top hits of each
-query are cut by rank before they are sorted out.
+query are cut by rank before they are sorted out. In an index that is not kept, the wanted terms are sent to the token arrays, and
+a document's other terms never become rows: the frequencies of wanted terms are counted from what is left.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from strandlake.functions.text import tokenize
 K1, B = 1.5, 0.75
 #: Scores are rounded to so many digits before they are ranked, as sums of doubles depend on their order.
 DIGITS = 9
+#: Wanted terms that are sent to the token arrays as one value; with more of them postings are made and joined.
+MOST_WANTED = 20_000
 
 
 @dataclass
@@ -26,6 +29,8 @@ class LexicalIndex:
     postings: DataFrame  # id, ordinal, term, tf, dl and the columns kept for filters
     terms: DataFrame  # term, df, idf
     stats: DataFrame  # n_docs, avgdl
+    tokens: DataFrame | None = None  # of an index that is not kept: id, ordinal, dl, tokens and the columns kept for filters
+    keep: tuple[str, ...] = ()
 
 
 def tokens_of(docs: DataFrame, id_: str, text: str, ordinal: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,7 +61,7 @@ def terms_of(postings: DataFrame, stats: DataFrame) -> DataFrame:
 def build(docs: DataFrame, id_: str, text: str, ordinal: str | None = None, keep: tuple[str, ...] = ()) -> LexicalIndex:
     tokens = tokens_of(docs, id_, text, ordinal, keep)
     postings, stats = postings_of(tokens, keep), stats_of(tokens)
-    return LexicalIndex(postings, terms_of(postings, stats), stats)
+    return LexicalIndex(postings, terms_of(postings, stats), stats, tokens, keep)
 
 
 def save(index: LexicalIndex, path: str) -> None:
@@ -84,14 +89,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return flat.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(index: LexicalIndex, queries: DataFrame, where: Column | None = None) -> DataFrame:
-    """query_id, id, ordinal, score of every document that holds a term. where filters what is scored, not what is counted."""
+def _wanted(index: LexicalIndex, terms: list[str]) -> LexicalIndex:
+    """The index of wanted terms alone, from token arrays: the same postings, frequencies and statistics as the whole one has for them."""
+    asked = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    few = index.tokens.withColumn("tokens", F.filter("tokens", lambda t: F.array_contains(asked, t)))
+    postings = postings_of(few.where(F.size("tokens") > 0), index.keep)
+    return LexicalIndex(postings, terms_of(postings, index.stats), index.stats)
+
+
+def scores(index: LexicalIndex, queries: DataFrame, where: Column | None = None, within: str | None = None) -> DataFrame:
+    """query_id, id, ordinal, score of every document that holds a term. where filters what is scored, not what is counted.
+
+    within: a kept column that must equal the query's own column ``within``.
+    """
     wanted = query_terms(queries)
+    if index.tokens is not None:
+        some = [r["term"] for r in wanted.select("term").distinct().limit(MOST_WANTED + 1).collect()]
+        if len(some) <= MOST_WANTED:
+            index = _wanted(index, sorted(some))
     terms = index.terms.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "idf")
     scored = index.postings if where is None else index.postings.where(where)
     avgdl = index.stats.select("avgdl").scalar()
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.when(avgdl == 0, 1.0).otherwise(avgdl)))
-    joined = scored.join(wanted.join(terms, "term"), "term")
+    asked = wanted.join(terms, "term")
+    if within:
+        asked = asked.join(queries.select("query_id", F.col("within").alias(within)), "query_id")
+    joined = scored.join(asked, ["term", *([within] if within else [])])
     found = joined.groupBy("query_id", "id", "ordinal").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * part), DIGITS).alias("score"))
     return found.where("score > 0")
 
@@ -102,6 +125,6 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(index: LexicalIndex, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+def search(index: LexicalIndex, queries: DataFrame, k: int = 10, where: Column | None = None, within: str | None = None) -> DataFrame:
     """query_id, id, ordinal, score, rank."""
-    return top(scores(index, queries, where), k)
+    return top(scores(index, queries, where, within), k)

@@ -38,7 +38,7 @@ def persist(run: DataFrame, path: str) -> None:
         run.select("run_id", F.coalesce(column, F.lit("")).alias("value")).write.mode("overwrite").partitionBy("run_id").text(f"{path}/{folder}")
     run.select("run_id", F.inline("log")).write.mode("overwrite").partitionBy("run_id").json(f"{path}/retrieval_log")
     run.select("run_id", "report.*").write.mode("overwrite").partitionBy("run_id").json(f"{path}/citation_report")
-    flattened(run.select("run_id", "files")).select("run_id", "name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("run_id", "name").text(f"{path}/research_files")
+    flattened(run.select("run_id", F.col("files"))).select("run_id", "name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("run_id", "name").text(f"{path}/research_files")
 
 
 def hit_table(hits: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import text as X
@@ -179,11 +179,18 @@ def c4_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CRC}, {_hashed('d', 'SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, b AS bucket, v AS value FROM d WHERE v <> 0")
 def c3_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket sums by built-in expressions: distinct tokens are cut and hashed once, whatever the number of documents that hold them."""
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.words(F.coalesce("text", F.lit("")))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+    """The signed counts of each document, folded where its text is; nothing is shuffled. c3_gram_buckets says the same by expressions."""
+    made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(dense.signed_counts(F.col("text"), 1024)).alias("bucket", "value"))
+    return made.where("value <> 0").select("doc_id", F.col("bucket").cast("long"), "value")
+
+
+@query(f"WITH {_CRC}, {_hashed('i', 'SELECT item_id AS id, text FROM benchmark')} SELECT id AS item_id, b AS bucket, v AS value FROM i WHERE v <> 0")
+def c3_gram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket sums by built-in expressions: distinct tokens are cut and hashed once, whatever the number of texts that hold them."""
+    tokens = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.words(F.coalesce("text", F.lit("")))).alias("t")).groupBy("item_id", "t").agg(F.count("*").alias("n"))
     grams = tokens.select("t").distinct().select("t", F.explode(V.char_grams(F.col("t"))).alias("g"))
     buckets = grams.select("t", V.gram_bucket(F.col("g"), 1024).cast("long").alias("bucket"), V.gram_sign(F.col("g")).alias("s")).groupBy("t", "bucket").agg(F.sum("s").alias("s"))
-    return tokens.join(buckets, "t").groupBy("doc_id", "bucket").agg(F.sum(F.col("n") * F.col("s")).alias("value")).where("value <> 0")
+    return tokens.join(buckets, "t").groupBy("item_id", "bucket").agg(F.sum(F.col("n") * F.col("s")).alias("value")).where("value <> 0")
 
 
 # -- fusion and evaluation
@@ -353,8 +360,7 @@ def x5_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'c' || conv_id AS source, turn, coalesce(role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn), true) AS changed FROM conversations")
 def w5_change_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("chapter").over(Window.partitionBy("source").orderBy("ordinal"))
-    return _titles(spark, sf_dir).select("source", F.col("ordinal").alias("turn"), (~F.col("chapter").eqNullSafe(before)).alias("changed"))
+    return _titles(spark, sf_dir).select("source", F.col("ordinal").alias("turn"), chunking.changed("chapter").alias("changed"))
 
 
 # -- XHTML
@@ -569,13 +575,6 @@ def j9_label_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.unknown_labels(cases, known).select(F.col("query_id").alias("doc_id"))
 
 
-@query("SELECT doc_id * 2 AS ordinal, 'd' || doc_id AS chunk_id, CAST(length(text) AS INT) AS n_chars FROM documents UNION ALL SELECT page_id * 2 + 1, 'p' || page_id, CAST(length(html) AS INT) FROM pages")
-def u1_union_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("ordinal"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.length("text").alias("n_chars"))
-    p = table(spark, sf_dir, "pages").select((F.col("page_id") * 2 + 1).alias("ordinal"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("chunk_id"), F.length("html").alias("n_chars"))
-    return d.unionByName(p)
-
-
 _TEXT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 
@@ -591,3 +590,114 @@ def p14_format_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.col("doc_id").cast("string")
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), ident).alias("chunk_id"), F.concat(F.lit("Doc "), ident).alias("citation"), F.col("lang").alias("article_title"), F.col("source").alias("body"))
     return fusion.formatted(_items(spark, sf_dir), hits.join(chunks, "id"))
+
+
+# -- the corpus: chunks of all documents and a register that has a row for each page
+def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident = F.lpad(F.col("page_id").cast("string"), 8, "0")
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.concat(F.lit(" P-"), ident, F.lit(" ")).alias("policy_id"), F.concat(F.lit("Page "), ident).alias("title"), F.when(F.col("page_id") % 2 == 0, "IT").alias("owner"), F.lit("2024-01-02").alias("last_reviewed"), F.substring("url", 1, 40).alias("summary"))
+
+
+_POLICIES = """pol AS (SELECT page_id, 'P-' || lpad(CAST(page_id AS VARCHAR), 8, '0') AS pid, 'Page ' || lpad(CAST(page_id AS VARCHAR), 8, '0') AS title,
+  'Owner: ' || CASE WHEN page_id % 2 = 0 THEN 'IT' ELSE '' END || '. Last reviewed: 2024-01-02.' || chr(10) || coalesce(left(url, 40), '') AS body FROM pages)"""
+
+
+@query(f"WITH {_POLICIES} SELECT 'policy::' || pid AS chunk_id, pid AS citation, 'Internal policy ' || pid || ' — ' || title || chr(10) || body AS text, body, 'policy' AS kind, 'policy_register' AS source FROM pol")
+def p11_policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_policies(_register(spark, sf_dir)).select("chunk_id", "citation", "text", "body", "kind", "source")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.corpus(_chunks(spark, sf_dir), chunking.chunk_policies(_register(spark, sf_dir)))
+
+
+_CORPUS = f"""{_CHUNKS}, {_POLICIES},
+co0 AS (SELECT 0 AS register, 'doc' || doc_id AS source, block, part, chunk_id, text FROM ch UNION ALL SELECT 1, 'policy_register', 0, 0, 'policy::' || pid, 'Internal policy ' || pid || ' — ' || title || chr(10) || body FROM pol),
+co AS (SELECT row_number() OVER (ORDER BY register, source, block, part, chunk_id) - 1 AS ordinal, chunk_id, text, CASE WHEN register = 1 THEN 'policy' ELSE 'regulation' END AS kind, source FROM co0)"""
+
+
+@query(f"{_CORPUS} SELECT ordinal, chunk_id, kind, source FROM co")
+def u1_union_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by name and the register after them, numbered through."""
+    return _corpus(spark, sf_dir).select("ordinal", "chunk_id", "kind", "source")
+
+
+@query(f"{_CHUNKS} SELECT chunk_id, 'regulation' AS kind, 'doc' || doc_id AS source, citation, CAST(doc_id AS VARCHAR) AS article, 'Of ' || d.source AS article_title, 'Chapter ' || d.lang AS chapter FROM ch JOIN d USING (doc_id)")
+def p12_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.metadata(_chunks(spark, sf_dir))
+
+
+def _items_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident = F.col("item_id").cast("string")
+    empty = F.lit("")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ordinal"), F.concat(F.lit("b"), ident).alias("chunk_id"), F.coalesce("text", empty).alias("text"), F.lit("regulation").alias("kind"), F.lit("bench").alias("source"), F.concat(F.lit("Item "), ident).alias("citation"), ident.alias("article"), empty.alias("article_title"), empty.alias("chapter"))
+
+
+@query("""SELECT left(sha256(coalesce(string_agg('{"article":"' || item_id || '","article_title":"","chapter":"","citation":"Item ' || item_id || '","kind":"regulation","source":"bench"}', '' ORDER BY item_id), '')), 16) AS meta_fingerprint FROM benchmark""")
+def a14_metadata_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.metadata_fingerprint(_items_as_chunks(spark, sf_dir))
+
+
+@query("""SELECT item_id, 'b' || item_id = 'b' || item_id AS same, true AS moved, true AS renamed, true AS empty FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)""")
+def a13_fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of any size: the same for the same chunks wherever they lie, another one for any change of text, order or number."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    one = lambda rows: chunking.fingerprint_tree(rows).first()[0]
+    now, least = one(chunks), table(spark, sf_dir, "benchmark").agg(F.min("item_id").alias("item_id"))
+    moved = one(chunks.withColumn("ordinal", F.col("ordinal") + 1)) != now
+    renamed = one(chunks.withColumn("text", F.when(F.col("ordinal") % 97 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))) != now
+    return least.select("item_id", F.lit(one(chunks.repartition(5, "chunk_id")) == now).alias("same"), F.lit(moved).alias("moved"), F.lit(renamed).alias("renamed"), F.lit(one(chunks.limit(0)) != now).alias("empty"))
+
+
+@query("SELECT * FROM (VALUES ('auto', 'hashing:char3-5:1024', 'hybrid'), ('auto', 'remote:m:768', 'dense'), ('bm25', 'remote:m:768', 'bm25'), ('dense', 'hashing:x', 'dense'), ('hybrid', 'remote:m:768', 'hybrid')) t(mode, embedder, resolved)")
+def c11_resolve_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = [("auto", dense.HashingEmbedder().name), ("auto", "remote:m:768"), ("bm25", "remote:m:768"), ("dense", "hashing:x"), ("hybrid", "remote:m:768")]
+    return spark.createDataFrame([(m, e, fusion.resolve_mode(m, e)) for m, e in asked], "mode string, embedder string, resolved string")
+
+
+@query(f"WITH {_bm25(_ITEMS, k=10)} SELECT query_id, 'd' || doc_id AS chunk_id, CAST(rank AS INT) AS rank FROM bm WHERE doc_id % 3 <> 0")
+def f6_dangling_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that no chunk has fall out after the cut to ten, so that fewer are left."""
+    hits = lexical.search(_index(spark, sf_dir), _items(spark, sf_dir), 10).select("query_id", F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "rank")
+    chunks = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"))
+    return fusion.hydrate(hits, chunks).select("query_id", "chunk_id", "rank")
+
+
+_CASES = "cases AS (SELECT item_id AS query_id, text AS q, list_sort([CAST(item_id % 7 AS VARCHAR), CAST(item_id % 11 AS VARCHAR)]) AS articles, CASE WHEN item_id % 2 = 0 THEN 'exact' ELSE 'paraphrase' END AS type FROM benchmark)"
+
+
+def _article_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("query_id")
+    return _items(spark, sf_dir).select("query_id", "q", F.lit("law").alias("source"), F.array((i % 7).cast("string"), (i % 11).cast("string")).alias("articles"), F.when(i % 2 == 0, "exact").otherwise("paraphrase").alias("type"))
+
+
+@query(f"WITH {_bm25(_ITEMS, k=10)}, {_CASES} SELECT query_id, CAST(min(rank) AS INT) AS rank FROM cases LEFT JOIN (SELECT query_id, doc_id, rank FROM bm) b USING (query_id) WHERE doc_id IS NOT NULL AND list_contains(articles, CAST(doc_id % 13 AS VARCHAR)) GROUP BY query_id")
+def j7_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hit whose article is among those of its case; documents are articles by their number."""
+    hits = lexical.search(_index(spark, sf_dir), _items(spark, sf_dir), 10).select("query_id", "rank", (F.col("id") % 13).cast("string").alias("article"), F.lit("bm25").alias("mode"))
+    found = evaluate.first_relevant(_article_cases(spark, sf_dir), hits, F.array_contains("articles", F.col("article")))
+    return found.where("rank IS NOT NULL").select("query_id", "rank")
+
+
+def _fused_modes(k: int) -> str:
+    """Up to ev(mode, query_id, grp, r) of all three modes."""
+    rows = {"bm25": "SELECT query_id, doc_id, rank AS br, NULL AS dr FROM bm", "dense": "SELECT query_id, doc_id, NULL AS br, rank AS dr FROM de"}
+    un = " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({rows[x]})" for m, parts in (("bm25", ["bm25"]), ("dense", ["dense"]), ("hybrid", ["bm25", "dense"])) for x in parts)
+    return f"""WITH {_bm25(_ITEMS)}, {_DENSE}, {_CASES}, un AS ({un}),
+f AS (SELECT mode, query_id, doc_id, round(sum(1.0::DOUBLE / (60 + coalesce(br, dr))), 12) AS score, max(br) AS bm25_rank, max(dr) AS dense_rank FROM un GROUP BY ALL),
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, bm25_rank NULLS LAST, dense_rank NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= {k}),
+ok AS (SELECT mode, query_id, min(rank) AS r FROM fu JOIN cases USING (query_id) WHERE list_contains(articles, CAST(doc_id % 13 AS VARCHAR)) GROUP BY ALL),
+ev AS (SELECT m.mode, c.query_id, c.type AS grp, ok.r FROM cases c, (SELECT unnest(['bm25', 'dense', 'hybrid']) AS mode) m LEFT JOIN ok ON ok.mode = m.mode AND ok.query_id = c.query_id)"""
+
+
+@query(f"""{_fused_modes(10)} SELECT coalesce(grp, 'all') AS grp, mode, count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1,
+round(avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_3, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5,
+round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM ev GROUP BY GROUPING SETS ((mode), (mode, grp))""")
+def x11_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation as it is run: all cases within the chunks of their source, in three modes, by article."""
+    embedder = dense.HashingEmbedder()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("regulation").alias("kind"), F.lit("law").alias("source"), (F.col("doc_id") % 13).cast("string").alias("article"))
+    vectors = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), embedder.documents(F.col("text")).alias("v"), "kind", "source")
+    retriever = fusion.Retriever(lexical.build(docs, "doc_id", "text", keep=("kind", "source")), vectors, embedder)
+    return evaluate.metrics(evaluate.run(retriever, _article_cases(spark, sf_dir), docs.withColumnRenamed("doc_id", "chunk_id")))

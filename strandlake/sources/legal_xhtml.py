@@ -23,7 +23,7 @@ from strandlake.schemas import ARTICLE_LINE
 
 # The service's address and the class and id patterns of its documents.
 SERVICE = "http://publications.europa.eu/resource/celex/{celex}"
-HEADERS = {"Accept": "application/xhtml+xml;q=0.9, text/html;q=0.8", "Accept-Language": "eng"}
+HEADERS = {"Accept": "application/xhtml+xml;q=0.9, text/html;q=0.8", "Accept-Language": "eng", "User-Agent": "strandlake/1 (legal text ingestion)"}
 ARTICLE_MARK = "oj-ti-art"
 SECTION, SECTION_TITLE, NOTE, TITLE = "oj-ti-section-1", "oj-ti-section-2", "oj-note-tag", "eli-title"
 ARTICLE_ID, PARAGRAPH_ID = re.compile(r"art_\d+[a-z]?"), re.compile(r"\d{3}\.\d{3}")
