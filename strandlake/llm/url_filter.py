@@ -50,8 +50,6 @@ RULES = (
 DAMPING = 0.85
 #: Share of all mass that may still be on its way when the steps end.
 TOLERANCE = 1e-4
-#: Steps that are one written table.
-STEPS_AT_ONCE = 6
 #: Links of one source that one salt holds.
 PER_SALT = 10_000
 #: Blocked hosts that are broadcast, at most 256 bytes each.
@@ -118,26 +116,20 @@ def propagate_all(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
     hubs = degrees.where("salts > 1").take(1)  # without any, there is nothing to repeat
     total = {r["kind"]: r["m"] for r in seeds.groupBy("kind").agg(F.sum("mass").alias("m")).collect()}
     moving = materialize(seeds.select("kind", "host", F.col("mass").cast("double").alias("rank")), "host-moves")
-    done, left = [moving], steps_for(damping, tolerance)
-    while left > 0 and shares.take(1):
-        sent, n = moving, min(left, STEPS_AT_ONCE)
-        each = []
-        for _ in range(n):
-            spread = sent.select("kind", F.col("host").alias("src"), "rank", F.lit(0).alias("salt"))
-            if hubs:
-                spread = spread.drop("salt").join(degrees, ["kind", "src"]).select("kind", "src", "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-            sent = spread.join(shares, ["kind", "src", "salt"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(damping * F.col("rank") * F.col("share")).alias("rank"))
-            each.append(sent)
-        marked = reduce(DataFrame.unionByName, (x.withColumn("step", F.lit(k)) for k, x in enumerate(each)))
-        made = materialize(marked, "host-moves")
-        moving, left = made.where(F.col("step") == n - 1).drop("step"), left - n
-        done.append(made.drop("step"))
+    done = [moving]
+    for _ in range(steps_for(damping, tolerance) if shares.take(1) else 0):
+        spread = moving.select("kind", F.col("host").alias("src"), "rank", F.lit(0).alias("salt"))
+        if hubs:
+            spread = spread.drop("salt").join(degrees, ["kind", "src"]).select("kind", "src", "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        moved = spread.join(shares, ["kind", "src", "salt"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(damping * F.col("rank") * F.col("share")).alias("rank"))
+        moving = materialize(moved, "host-moves")
+        done.append(moving)
         if len(done) > 8:
             done, old = [materialize(_summed(done), "host-sums")], done
             for x in old[:-1]:  # the last of them still moves
                 discard(x)
-        if not moving.take(1):
-            break
+            if not moving.take(1):
+                break
     ranks = materialize(_summed(done), "host-sums")
     scale = {r["kind"]: total[r["kind"]] / r["s"] for r in ranks.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}
     factor = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(scale[k])), scale, F.when(F.lit(False), F.lit(0.0)))

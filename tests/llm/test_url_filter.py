@@ -98,7 +98,7 @@ def test_trust_and_distrust_spread(spark, monkeypatch):
     assert {r[0]: r[4] for r in want} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "allow", 11: "allow"}
     named = verdicts(PAGES, lambda h: h == "pills.net")[0]
     assert got(rows, blocked=F.col("host") == "pills.net") == sorted(named, key=repr) and {r[4] for r in named if r[0] in (6, 8)} == {"block"}
-    for name, value in (("BROADCAST_HOSTS", 0), ("PER_SALT", 1), ("STEPS_AT_ONCE", 3)):
+    for name, value in (("BROADCAST_HOSTS", 0), ("PER_SALT", 1)):
         monkeypatch.setattr(U, name, value)
     assert got(rows) == sorted(want, key=repr)
 
