@@ -85,12 +85,26 @@ def rows_that_pass(docs: DataFrame, column: str, make: Callable[[], Callable[[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
-        for b in batches:
+        for b in in_turn(batches):
             yield b.filter(pa.array(test(b.column(0).field(at)), pa.bool_()))
 
     return packed.mapInArrow(run, packed.schema).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches one after another; what was freed with one goes back before the next, as a worker would else keep several times its needs."""
+    for b in batches:
+        yield b
+        give_back()
+
+
 def keep_in_worker(name: str, release: Callable[[], None]) -> None:
     """Called by a task before it keeps anything for later tasks of its process: what another operator has kept there goes first.
 
@@ -99,7 +113,6 @@ def keep_in_worker(name: str, release: Callable[[], None]) -> None:
     if _keeper and _keeper[0][0] != name:
         _keeper.pop()[1]()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    give_back()
     if not _keeper:
         _keeper.append((name, release))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import keep_in_worker, materialize, rows_that_pass, table
+from strandlake.llm.common import in_turn, keep_in_worker, materialize, rows_that_pass, table
 
 WINDOW = 13
 #: Characters of benchmark text for one automaton, about 0.5 GB of it at worst.
@@ -113,7 +113,7 @@ def _scanned(docs: DataFrame, given) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_in_worker("decontamination", lambda: None)
         found = automaton(given.value)
-        for b in batches:
+        for b in in_turn(batches):
             out: tuple[list, ...] = ([], [], [], [])
             for text in b.column(1).cast(pa.large_binary()).to_pylist():
                 n, mask, whole, got, same = scan(text, found)

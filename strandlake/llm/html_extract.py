@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import table
+from strandlake.llm.common import in_turn, table
 from strandlake.llm.html_blocks import BREAKING, Block, Path, blocks_of
 
 PATH_DIMS, WORD_DIMS, MEASURES = 160, 32, 8
@@ -335,7 +335,7 @@ def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataF
     rows = pages.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in others)).alias("__row"), F.col(f"`{column}`").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_turn(batches):
             lo = size = 0
             sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             for hi in range(1, b.num_rows + 1):

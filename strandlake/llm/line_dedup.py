@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import keep_in_worker, materialize, scratch, table
+from strandlake.llm.common import in_turn, keep_in_worker, materialize, scratch, table
 
 BLANK = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -60,7 +60,7 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_in_worker("lines", lambda: None)
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in in_turn(batches):
             ids, found, owner = b.column(0).to_pylist(), [], []
             for doc, text in zip(ids, _bytes(b.column(1)), strict=True):
                 if doc is None or not text:
@@ -262,7 +262,7 @@ def _rewrite(docs: DataFrame, drops: DataFrame, digest: bool, least: int = MIN_C
         return len(lines), len(lines) - len(left), b"\n".join(left)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_turn(batches):
             got = [kept(t, g) for t, g in zip(_bytes(b.column("__text")), b.column("gone"), strict=True)]
             if digest:
                 columns = [b.column("__row").field(0).cast(pa.int64()), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got])]

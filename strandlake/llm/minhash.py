@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import keep_in_worker, materialize, table
+from strandlake.llm.common import in_turn, keep_in_worker, materialize, table
 from strandlake.llm.components import connected_components
 from strandlake.llm.line_dedup import LOWER
 
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_in_worker("minhash", lambda: None)
-        for b in batches:
+        for b in in_turn(batches):
             rows, bands = [], []
             for text in b.column(1).cast(pa.large_binary()).to_pylist():
                 s = shingles(text)
@@ -168,7 +168,7 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
-        for b in batches:
+        for b in in_turn(batches):
             out_a, out_b = [], []
             for centre, salt, part, id_, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4).cast(pa.large_binary()).to_pylist(), strict=True):
                 s = shingles(text)
@@ -206,7 +206,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
 
 def _of_sets(docs: DataFrame, name: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_turn(batches):
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 sets = [shingles(t) for t in part.column(1).cast(pa.large_binary()).to_pylist()]

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize, table
-from strandlake.llm.token_ids import in_slices, part_tokenizer
+from strandlake.llm.common import in_turn, materialize, table
+from strandlake.llm.token_ids import part_tokenizer, texts_of
 
 CAPACITY = 4096
 END = 1
@@ -41,10 +41,10 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = part_tokenizer(path)
-        for b in batches:
-            ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for lo, hi in in_slices(texts):
-                for doc, found in zip(ids[lo:hi], t.encode_all(texts[lo:hi]), strict=True):
+        for b in in_turn(batches):
+            ids, rows = b.column(0).to_pylist(), []
+            for lo, texts in texts_of(b.column(1)):
+                for doc, found in zip(ids[lo : lo + len(texts)], t.encode_all(texts), strict=True):
                     tokens = np.append(found, np.uint32(END)).astype("<u4")
                     for k in range(0, len(tokens), capacity):
                         part = tokens[k : k + capacity]

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize, scratch, table
-from strandlake.llm.token_ids import in_slices, part_tokenizer
+from strandlake.llm.common import in_turn, materialize, scratch, table
+from strandlake.llm.token_ids import part_tokenizer, texts_of
 
 TOKENIZER = "word_bpe_49k.json"
 #: The tokenizer's own end-of-text id; ids fit two bytes.
@@ -53,16 +53,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
         name = f"{part:06d}-{uuid.uuid4().hex}.ids"
         end = np.array([separator], id_type).tobytes()
         try:
-            for b in batches:
+            for b in in_turn(batches):
                 if not b.num_rows:
                     continue
                 if out is None:
                     fs, at = _open(folder)
                     fs.create_dir(at, recursive=True)
                     out = fs.open_output_stream(f"{at}/{name}")
-                texts = b.column(1).to_pylist()
-                for lo, hi in in_slices(texts):
-                    for ids in t.encode_all(texts[lo:hi]):
+                for _, texts in texts_of(b.column(1)):
+                    for ids in t.encode_all(texts):
                         out.write(ids.astype(id_type).tobytes() + end)
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * n), pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int64())], ["doc_id", "file", "part", "ordinal"])

@@ -8,14 +8,17 @@ differences of running sums. Texts with letters beyond Latin-1 or with the token
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from strandlake.llm.common import keep_in_worker
+from strandlake.llm.common import give_back, keep_in_worker
 
 #: Words that a worker keeps, about 40 MB with their table, slots of its table for them, and characters that are taken in at once.
 MOST_WORDS, SLOTS = 600_000, 1 << 20
@@ -95,9 +98,9 @@ class PartTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
-        spec = json.loads(self.tokenizer.to_str())
+        self.path, self.special_as_text = path, special_as_text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["model"]["end_of_word_suffix"] != "</w>":
             raise ValueError("a tokenizer with marked word ends is needed")
         split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
@@ -113,8 +116,8 @@ class PartTokenizer:
         self.n = self.used = 0
 
     def _hashes(self, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        while len(self.powers[0][0]) <= len(low):
-            self.powers = [tuple(powers(x, 2 * len(self.powers[0][0])) for x in (b, pow(b, -1, 1 << 64))) for b in _BASES]
+        if len(self.powers[0][0]) <= len(low):
+            self.powers = [tuple(powers(x, len(low) + 1024) for x in (b, pow(b, -1, 1 << 64))) for b in _BASES]
         out, upto = np.empty((2, len(first)), np.uint64), np.zeros(len(low) + 1, np.uint64)
         for k in range(2):
             np.cumsum(_VALUES[k][low] * self.powers[k][0][: len(low)], out=upto[1:])
@@ -186,7 +189,7 @@ class PartTokenizer:
         """Ids of each text; of texts of up to about CHARS_AT_ONCE characters in all, a longer one goes by itself."""
         if len(texts) == 1 and len(texts[0] or "") > CHARS_AT_ONCE:
             return [np.concatenate([self.encode_all([x])[0] for x in pieces_of(texts[0])])] if plain(texts[0]) else [self._whole(texts[0])]
-        easy = [t is not None and len(t) <= 4 * CHARS_AT_ONCE and plain(t) for t in texts]
+        easy = [t is not None and len(t) <= 2 * CHARS_AT_ONCE and plain(t) for t in texts]
         given = [t.encode("latin-1") if e else b"" for t, e in zip(texts, easy, strict=True)]
         raw = b"\n".join([*given, b""]).translate(_LOWER)
         low = np.frombuffer(raw, np.uint8)
@@ -200,6 +203,15 @@ class PartTokenizer:
         out = np.split(ids, cuts[:-1])
         return [x if e else self._whole(t or "") for x, e, t in zip(out, easy, texts, strict=True)]
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = self.special_as_text
+        return made
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -209,17 +221,27 @@ def part_tokenizer(path: str, special_as_text: bool = False) -> PartTokenizer:
     key = (path, special_as_text)
     if key not in _loaded:
         _loaded[key] = PartTokenizer(path, special_as_text)
+        give_back()  # the file's contents
     return _loaded[key]
 
 
 def in_slices(texts: list[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive slices with about so many characters; a text that is longer stands alone."""
+    return slices_of([len(t or "") for t in texts], chars)
+
+
+def slices_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     first = total = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if total and total + n > chars:
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
             yield first, i
             first, total = i, 0
         total += n
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def texts_of(column: pa.Array, chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, list[str | None]]]:
+    """First place and texts of slices of a batch's column, one after another, so that not all of them are strings at once."""
+    for lo, hi in slices_of(pc.fill_null(pc.binary_length(column), 0).to_pylist(), chars):
+        yield lo, column.slice(lo, hi - lo).to_pylist()

@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import keep_in_worker, rows_that_pass, table
+from strandlake.llm.common import give_back, in_turn, keep_in_worker, rows_that_pass, table
 from strandlake.llm.minhash import shingles
-from strandlake.llm.token_ids import in_slices
+from strandlake.llm.token_ids import in_slices, texts_of
 
 FOLDS = 5
 TRAIN_TOXIC, TRAIN_CLEAN = 1_600, 3_200
@@ -592,6 +592,8 @@ def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             kept.append(rows[k])
     kept.sort()
     model = train([t for _, _, t in kept], [y for _, y, _ in kept])
+    del rows, kept
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
@@ -633,14 +635,18 @@ def _scorer(model: Model):
     return score
 
 
+def _scores(score, column: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(score(texts) for _, texts in texts_of(column))])
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for docs(doc_id, text)."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(given.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+        for b in in_turn(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(score, b.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -651,7 +657,7 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
 
     def make():
         score = _scorer(given.value)
-        return lambda texts: (score(texts.to_pylist()) < least).tolist()
+        return lambda texts: (_scores(score, texts) < least).tolist()
 
     return rows_that_pass(docs, "text", make)
 
