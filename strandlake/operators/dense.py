@@ -216,7 +216,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None
     # each block of queries meets each group of vectors in a task of its own
     blocks, groups = -(-size // QUERY_BYTES), -(-kept.count() // GROUP_VECTORS) or 1
     q = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(0).alias("part"), "query_id", F.lit(None).cast(kept.schema["id"].dataType).alias("id"), F.lit(None).cast("long").alias("ordinal"), "v", "key")
-    x = kept.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("part"), F.lit(None).cast("long").alias("query_id"), "id", "ordinal", "v", "key")
+    x = kept.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("part"), F.lit(None).cast("long").alias("query_id"), "id", "ordinal", "v", "key")
     met = q.unionByName(x).repartition("block", "group").sortWithinPartitions("block", "group", "part")
     return _ranked(met.mapInArrow(_best_in_groups(k), _hit_schema(kept)), k)
 

@@ -109,3 +109,58 @@ def test_command_line_and_settings(spark, folder, tmp_path, capsys):
 def test_policy_rows_with_nulls(spark):
     rows = spark.createDataFrame([("P-9", "T", None, None, None)], "policy_id string, title string, owner string, last_reviewed string, summary string")
     assert chunk_policies(rows).first()["body"] == "Owner: . Last reviewed: .\n"
+
+
+def test_research_with_tools(spark, kb):
+    """Rounds of calls, a checker that looks up for itself, files; the log has what was read, and the file is the findings."""
+    prompts = []
+    rounds = iter([
+        '[{"tool": "search_regulation", "query": "incidents"}, {"tool": "search_policies", "query": "severity"}, {"tool": "search_regulation", "query": "audits"}, {"tool": "dance"}]',
+        '{"tool": "check_claim", "claim": "A day", "id": "bank_act::art1::p1"}',
+        '{"tool": "write_file", "name": "/root/work/findings.md", "content": "Report [bank_act::art1::p1]."}',
+        "I have done.",
+    ])
+    checks = iter(['{"tool": "get_provision", "id": "[bank_act::art2::p1]"}', "SUPPORTED"])
+
+    def model(prompt, text):
+        prompts.append((prompt, text))
+        return next(rounds) if prompt == "research" else next(checks) if prompt == "check" else fake(prompt, text)
+
+    run = Run(kb, model, "r9", "bank_act", "Bank Act", wait=lambda s: None)
+    run.triage()
+    run.research()
+    assert run.state["research_findings"] == "Report [bank_act::art1::p1]." and list(run.state["research_files"]) == ["/root/work/findings.md"]
+    log = run.log.where("run_id = 'r9'").orderBy("seq").collect()
+    assert [r["tool"] for r in log] == ["search_regulation"] * 2 + ["search_policies"] * 2 + ["search_regulation"] * 2 + ["search_policies"] + ["get_provision"] * 2
+    assert [r["seq"] for r in log] == list(range(len(log))) and [r["query"] for r in log[4:7]] == ["incidents", "audits", "severity"]
+    second = [t for p, t in prompts if p == "research"][1]
+    assert "[policy::P-1]" in second and "no tool 'dance'" in second and "SUPPORTED" in [t for p, t in prompts if p == "research"][2]
+    assert "Auditors check permits" in [t for p, t in prompts if p == "check"][1]
+
+
+def test_research_ends_after_so_many_rounds(spark, kb, monkeypatch):
+    monkeypatch.setattr("strandlake.plans.workflow.MOST_ROUNDS", 3)
+    run = Run(kb, lambda p, t: '{"tool": "write_file", "name": "n.md", "content": "x"}' if p == "research" else fake(p, t), "r10", "bank_act", "Bank Act")
+    run.triage()
+    run.research()
+    assert "write_file" in run.state["research_findings"] and list(run.state["research_files"]) == ["n.md"]
+
+
+def test_a_run_from_the_command_line_writes_its_outputs(spark, folder, tmp_path, capsys, monkeypatch):
+    for k, v in (("regulations_dir", folder / "regs"), ("policies_csv", folder / "p.csv"), ("index_dir", folder / "index"), ("output_dir", tmp_path / "out")):
+        spark.conf.set(f"spark.strandlake.{k}", str(v))
+    monkeypatch.setattr("test_engine.fake", fake, raising=False)
+    import sys
+
+    sys.modules.setdefault("a_model", type(sys)("a_model")).answer = lambda p, t: '{"tool": "write_file", "name": "a/notes.md", "content": "n"}' if p == "research" and "notes" not in t else fake(p, t)
+    cli.main(["run", "--source", "bank_act", "--name", "Bank Act", "--model", "a_model:answer", "--approve"], spark)
+    (at,) = (tmp_path / "out").iterdir()
+    assert at.name.startswith("bank_act-") and f"Written to {at}" in capsys.readouterr().out
+    report = spark.read.text(f"{at}/report", wholetext=True).first()["value"]
+    assert report.startswith("# R\nReport [Bank Act Art. 1(1)]") and "say more" in spark.read.text(f"{at}/transcript", wholetext=True).first()["value"]
+    log = spark.read.json(f"{at}/retrieval_log").orderBy("seq").collect()
+    assert [r["seq"] for r in log] == list(range(len(log))) and log[-1]["tool"] == "review_evidence"
+    both = spark.read.json(f"{at}/citation_report").first()
+    assert both["research_findings"]["verified"] == ["bank_act::art1::p1"] and both["final_report"]["unknown"] == ["bank_act::art9::p9"]
+    files = {r["name"]: r["value"] for r in spark.read.text(f"{at}/research_files", wholetext=True).collect()}
+    assert files == {"notes.md": "n\n"}

@@ -23,3 +23,7 @@ def test_nothing_else_imports_it():
     assert all("/strandlake/llm/" in f for f in found)
 
 
+def test_a_dependency_that_is_missing_inside_is_an_error():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert not os.path.isdir(f"{ROOT}/strandlake/llm") or (out.returncode != 0 and "ahocorasick" in out.stderr)

@@ -96,6 +96,28 @@ def test_remote_embedder_batches_and_normalises(spark):
     assert dense.default_embedder().name.startswith("hashing:")
 
 
+def test_remote_embedder_tries_again_and_keeps_queries():
+    asked, waits, fail = [], [], iter(["429: please retry in 2.5s", "503"])
+
+    def call(texts, task):
+        if (message := next(fail, None)) is not None:
+            raise OSError(message)
+        asked.append(list(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    e = dense.RemoteEmbedder("kept", 2, call, waits.append)
+    a = e.vectors(["x", "yy", "x"], "query")
+    assert waits == [3.5, 2.0] and asked == [["x", "yy"]] and (a[0] == a[2]).all()
+    assert len(e.vectors(["yy", "zzz"], "query")) == 2 and asked[-1] == ["zzz"]
+    assert len(e.vectors(["x", "x"], "document")) == 2 and asked[-1] == ["x", "x"]
+    broken = dense.RemoteEmbedder("b", 2, lambda t, k: 1 / 0, waits.append)
+    with pytest.raises(ZeroDivisionError):
+        broken.vectors(["x"], "query")
+    with pytest.raises(ValueError):
+        dense.RemoteEmbedder("c", 2, lambda t, k: [], waits.append).vectors(["x"], "document")
+    assert dense.seconds_to_wait("Retry in 1..2s", 9) == 60.0
+
+
 def test_fusion_rewards_agreement_and_keeps_order(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id long, id string, rank int")
     b = spark.createDataFrame([(1, "z", 1), (1, "w", 2), (1, "x", 3)], "query_id long, id string, rank int")
