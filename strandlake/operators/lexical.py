@@ -21,7 +21,7 @@ K1, B = 1.5, 0.75
 #: Scores are rounded to so many digits before they are ranked, as sums of doubles depend on their order.
 DIGITS = 9
 #: Wanted terms that are sent to the token arrays as one value; with more of them postings are made and joined.
-MOST_WANTED = 20_000
+MOST_WANTED = 5_000
 
 
 @dataclass
@@ -91,8 +91,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def _wanted(index: LexicalIndex, terms: list[str]) -> LexicalIndex:
     """The index of wanted terms alone, from token arrays: the same postings, frequencies and statistics as the whole one has for them."""
-    asked = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    few = index.tokens.withColumn("tokens", F.filter("tokens", lambda t: F.array_contains(asked, t)))
+    # a list of literals is looked up by hash
+    few = index.tokens.withColumn("tokens", F.filter("tokens", lambda t: t.isin(terms)))
     postings = postings_of(few.where(F.size("tokens") > 0), index.keep)
     return LexicalIndex(postings, terms_of(postings, index.stats), index.stats)
 
