@@ -8,6 +8,7 @@ import importlib
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.operators import chunking
 from strandlake.plans.knowledge_base import KnowledgeBase
@@ -16,6 +17,7 @@ from strandlake.plans.workflow import Run
 from strandlake.sources import legal_xhtml
 from strandlake.sources.config import Settings
 from strandlake.sources.gold import read_gold
+from strandlake.sources.markdown import write_markdown
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,7 +52,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.command == "ingest":
         articles = legal_xhtml.parse_documents(legal_xhtml.fetch(spark, args.celex, s.cache_dir, not args.refresh)).cache()
         titles = spark.createDataFrame([(args.celex, args.title, dt.date.today().isoformat())], "celex string, title string, fetched string")
-        legal_xhtml.to_markdown(articles, titles).select("value").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(f"{s.regulations_dir}/{args.name}.md")
+        write_markdown(legal_xhtml.to_markdown(articles, titles).select(F.lit(args.name).alias("source"), "value"), s.regulations_dir)
         legal_xhtml.counts(articles).show()
         return
     kb = KnowledgeBase.load(spark, s.regulations_dir, s.policies_csv, s.index_dir, rebuild=getattr(args, "rebuild", False), mode=s.retrieval_mode)

@@ -266,8 +266,11 @@ def f8_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- chunks
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markdown_of(table(spark, sf_dir, "documents"))
+
+
+def _markdown_of(docs: DataFrame) -> DataFrame:
     """A file for each document. Lines are paragraphs of their own in every second one, a paragraph together in the others."""
-    docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     body = F.when(F.col("doc_id") % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\n\n"))).otherwise(text)
     number = F.when(F.col("doc_id") % 3 == 0, F.concat((F.col("doc_id") % 7).cast("string"), F.lit(". "))).otherwise("")

@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
-def _path(spark: SparkSession, path: str):
+def fs_path(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path for it."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
@@ -35,7 +35,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder. What this application has written there is removed when its driver ends."""
     root = f"{shared_dir(spark)}/strandlake/{spark.sparkContext.applicationId}"
     if root not in _removed:
-        fs, path = _path(spark, root)
+        fs, path = fs_path(spark, root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
         _removed.add(root)
@@ -55,5 +55,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing will read again, such as the last round's of a loop."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        fs, path = _path(df.sparkSession, folder)
+        fs, path = fs_path(df.sparkSession, folder)
         fs.delete(path, True)

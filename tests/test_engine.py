@@ -164,3 +164,16 @@ def test_a_run_from_the_command_line_writes_its_outputs(spark, folder, tmp_path,
     assert both["research_findings"]["verified"] == ["bank_act::art1::p1"] and both["final_report"]["unknown"] == ["bank_act::art9::p9"]
     files = {r["name"]: r["value"] for r in spark.read.text(f"{at}/research_files", wholetext=True).collect()}
     assert files == {"notes.md": "n\n"}
+
+
+def test_markdown_files_are_read_as_written(spark, tmp_path):
+    from strandlake.sources.markdown import read_markdown, write_markdown
+
+    at = f"file://{tmp_path}/laws"
+    texts = [("act", "# Act — one\n\ntext"), ("an act = 50%", "é\n"), ("none", "")]
+    rows = spark.createDataFrame(texts, "source string, value string")
+    write_markdown(rows, at)
+    write_markdown(rows.where("source = 'act'").withColumn("value", F.lit("two\n\n")), at)
+    got = {r["source"]: r["value"] for r in read_markdown(spark, at).collect()}
+    assert got == {"act": "two\n\n", "an act = 50%": "é\n", "none": "\n"}
+    assert sorted(x.name for x in (tmp_path / "laws").iterdir() if not x.name.startswith(".")) == ["act.md", "an act = 50%.md", "none.md"]

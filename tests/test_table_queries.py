@@ -5,8 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strandlake.plans.table_queries import ORACLES, QUERIES
+from strandlake.plans import store_queries, table_queries
 
+QUERIES = table_queries.QUERIES | store_queries.QUERIES
+ORACLES = table_queries.ORACLES | store_queries.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
