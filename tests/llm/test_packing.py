@@ -16,7 +16,7 @@ ODD = ["", "Don't STOP, it's 3.14!!  ok", "naïve Ünï © ½ 42²", "日本語
 
 
 def plain(text):
-    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    return TOKENIZER_.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_the_tokenizers_own():
