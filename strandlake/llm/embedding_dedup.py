@@ -1,21 +1,24 @@
-"""Embedding near-dedup: sorted projection passes.
+"""Embedding near-dedup: all pairs of a label, compared in blocks.
 
-Each pass hashes every vector by BITS random hyperplanes and sorts all vectors of a label lexicographically by the bits; each is
-compared with its WINDOW next neighbours in double precision, and verified pairs are united. Vectors of a label may share a
-direction, so hyperplanes go through the label's centre, the mean of a sample. The number of passes follows from the wanted
-recall and from what the label's sample tells: vectors at the threshold agree on one bit with probability p = 1 - angle / pi, the
-angle seen from the centre, and have to agree on so many bits that no more than WINDOW others are expected to agree on them too,
-so that a pass finds them with p to that power. Members that link are not counted among those others: they are of one component.
-The nearer a label's vectors stand, the more passes it takes; where comparing all of its pairs costs less, that is done, in blocks,
-and so it is in small labels.
+Every vector of a label is compared with every other one of it. A label's vectors are dealt into blocks by a hash of their ids, and a
+task holds the two blocks of a pair. Tiles of them are multiplied in single precision; what reaches the threshold less all that this
+can lose is multiplied again in double precision, which alone decides. Links are handed on as far as they join what was apart. The
+time grows with the square of a label and rows move once for each of its blocks (README).
 
-A window bounds how many neighbours a vector meets, not how many it has: inside each component that the passes found, links are
-then counted exactly. Members within half the threshold's angle of the component's mean direction are all linked with each
-other, so they are counted by their number; only the members further out are compared with the whole component, in blocks.
-Equal vectors are one class with its size, whatever their number.
+A caller who asks for a recall below 1 gets sorted projection passes for large labels instead: each pass hashes every vector by BITS
+random hyperplanes through the label's centre, sorts a label by the bits and compares each vector with its WINDOW next neighbours. The
+centre, the mean of a sample, and the number of passes are told by a sample of the label, so that links of a crowd that the sample
+misses may be lost. Vectors at the threshold agree on one bit with probability p = 1 - angle / pi, the angle seen from the centre,
+and have to agree on so many bits that no more than WINDOW others are expected to agree on them too, so that a pass finds them with p
+to that power. Members that link are not counted among those others: they are of one component. Where comparing all pairs costs
+less, that is done. All passes are one range-partitioned sort; the heads and tails of neighbouring partitions are compared
+afterwards, so that windows don't end at partitions. The query asks for no such thing.
 
-Sorting is one range-partitioned sort of all passes; the heads and tails of neighbouring partitions are compared afterwards, so
-that windows don't end at partitions. Components are found by star steps on the link table. No vectors go to the driver.
+Inside each component links are then counted exactly. Members within half the threshold's angle of the component's mean direction
+are all linked with each other, so they are counted by their number; only the members further out are compared with the whole
+component, in blocks. Equal vectors are one class with its size, whatever their number.
+
+Components are found by star steps on the link table. No vectors go to the driver.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows without a label link with
 nothing; vectors of different lengths never link; rows that share a vec_id are one class member each and link when they are
@@ -39,12 +42,15 @@ from strandlake.llm.components import connected_components
 
 THRESHOLD = 0.93
 WINDOW, BITS = 64, 48
-#: Wanted chance that a pair exactly at the threshold meets in some pass.
+#: Chance that a pair exactly at the threshold meets in some pass, where passes are asked for.
 RECALL = 0.999
 #: Vectors of a label from which its centre and passes are told, about.
 SAMPLE = 256
 #: Vectors that one side of a block of all pairs holds, about, and parts that a label's rows are dealt into to learn its passes.
 PAIRS_BLOCK, SALTS = 1024, 32
+#: Where all pairs are compared: blocks of a label, fewer where they would hold less than PAIRS_BLOCK vectors and more where they would
+#: hold more than these bytes in double precision, about; rows of a tile, multiplied at once.
+PARTS, BLOCK_BYTES, TILE = 8, 32 << 20, 512
 #: Members that one block of an exact comparison holds.
 BLOCK = 512
 #: Room for rounding where angles decide, in radians.
@@ -169,8 +175,18 @@ def _rows(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             yield keys, s.column("cls").to_numpy(zero_copy_only=False), _unit(s.column("v"))
 
 
+def whole_groups(classes: DataFrame) -> DataFrame:
+    """grp and blocks of the groups that take more than one; all of their pairs are compared."""
+    sizes = classes.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("v")).cast("long").alias("dim"))
+    blocks = F.greatest(F.least(F.lit(PARTS), F.ceil(F.col("n") / PAIRS_BLOCK)), F.ceil(F.col("n") * F.col("dim") * 8 / BLOCK_BYTES))
+    return materialize(sizes.select("grp", blocks.cast("int").alias("blocks"), F.lit(0).alias("passes")).where("blocks > 1"), "groups")
+
+
 def large_groups(classes: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
-    """grp, blocks, passes and centre of the groups of more than a few windows; no passes where all pairs are compared."""
+    """grp, blocks, passes and centre of the groups of more than a few windows; no passes where all pairs are compared.
+
+    Only for a caller who asks for a recall below 1, as a sample tells passes and centre.
+    """
     sizes = classes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 4 * window)
     sizes = materialize(sizes.withColumn("every", F.ceil(F.col("n") / SAMPLE).cast("long")), "group-sizes")
     sample = classes.join(F.broadcast(sizes), "grp").where(F.pmod(F.xxhash64("cls", F.lit(20240117)), F.col("every")) == 0)
@@ -206,6 +222,43 @@ def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def least_links(x: np.ndarray, m: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between unit vectors x[:m] and x[m:], or within x where m is all of them, as few as join the same places.
+
+    Single precision loses less than slack, so that what it leaves out is no link; double precision decides the rest.
+    """
+    single, slack = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-23
+    top, a, b = np.arange(len(x)), [], []
+    for lo in range(0, m, TILE):
+        i = np.arange(lo, min(lo + TILE, m))
+        for at in range(lo if m == len(x) else m, len(x), TILE):
+            j = np.arange(at, min(at + TILE, len(x)))
+            cosine = single[lo : lo + len(i)] @ single[at : at + len(j)].T
+            if cosine.max() < threshold - slack:
+                continue
+            near = (cosine >= threshold - slack) & (top[i][:, None] != top[j])  # those of one component need no link
+            r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(r):
+                continue
+            both = np.zeros((len(r) + len(c),) * 2, bool)
+            both[: len(r), len(r) :] = near[np.ix_(r, c)] & (x[i[r]] @ x[j[c]].T >= threshold)
+            both[len(r) :, : len(r)] = both[: len(r), len(r) :].T
+            place = np.concatenate([i[r], j[c]])
+            for p, q in zip(*(place[k].tolist() for k in spanning(both)), strict=True):
+                u, v = top[p], top[q]
+                while top[u] != u:
+                    u = top[u]
+                while top[v] != v:
+                    v = top[v]
+                if u != v:
+                    top[max(u, v)] = min(u, v)
+                    a.append(p)
+                    b.append(q)
+            while (top != top[top]).any():
+                top = top[top]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def all_pairs_links(classes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links a, b of the groups without passes; not all of them, but as many as join them in each block pair."""
 
@@ -214,16 +267,11 @@ def all_pairs_links(classes: DataFrame, groups: DataFrame, threshold: float = TH
 
         def emit() -> Iterator[pa.RecordBatch]:
             side, ids, x = (np.concatenate(c) for c in zip(*kept, strict=True))
-            hit = np.zeros((len(ids), len(ids)), bool)
-            if now[1] == now[2]:
-                hit = x @ x.T >= threshold
-                np.fill_diagonal(hit, False)
-                hit |= hit.T
-            else:
-                p, q = np.flatnonzero(side == now[1]), np.flatnonzero(side == now[2])
-                found = x[p] @ x[q].T >= threshold
-                hit[np.ix_(p, q)], hit[np.ix_(q, p)] = found, found.T
-            a, b = spanning(hit)
+            kept.clear()
+            if now[1] != now[2]:
+                order = np.argsort(side, kind="stable")
+                side, ids, x = side[order], ids[order], x[order]
+            a, b = least_links(x, int((side == now[1]).sum()), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
         for b in batches:
@@ -423,13 +471,18 @@ def _by_size(centres: DataFrame, column: str) -> DataFrame:
     return centres.select("comp", column)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
-    """vectors(vec_id, embedding, label) to vec_id, n_links, component_id."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = 1.0) -> DataFrame:
+    """vectors(vec_id, embedding, label) to vec_id, n_links, component_id, of all pairs.
+
+    A recall below 1 allows passes with this window in large labels, which may lose links.
+    """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     members, classes = classes_of(vectors)
     members = materialize(members, "class-members")
-    groups = large_groups(classes, threshold, window, recall)
-    links = candidate_links(classes, groups, threshold, window).unionByName(all_pairs_links(classes, groups, threshold))
+    groups = whole_groups(classes) if recall >= 1 else large_groups(classes, threshold, window, recall)
+    links = all_pairs_links(classes, groups, threshold)
+    if recall < 1:
+        links = links.unionByName(candidate_links(classes, groups, threshold, window))
     links = materialize(links, "vector-links")
     comps = materialize(connected_components(links).select(F.col("id").alias("cls"), F.col("root").alias("comp")).distinct(), "vector-components")
     exact = exact_links(classes, comps, threshold)

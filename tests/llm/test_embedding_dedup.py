@@ -150,3 +150,60 @@ def test_long_vectors_take_no_longer_than_their_length(spark):
     rows = [(i, v, 0) for i, v in enumerate(x.tolist())]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == brute(rows)
+
+
+def test_links_of_a_crowd_that_a_sample_misses(spark):
+    """1,200 of 12,000 vectors stand near each other without linking, but for 600 pairs; none is among 256 or so told by their ids."""
+    rng, n, m, dim = np.random.default_rng(8), 12_000, 1200, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((n, dim)))
+    axis = unit(rng.standard_normal(dim))
+    x[:m] = unit(math.sqrt(0.88) * axis + math.sqrt(0.12) * unit(rng.standard_normal((m, dim))))
+    for i in range(0, m, 2):
+        d = np.linalg.qr(np.stack([x[i], axis, rng.standard_normal(dim)], axis=1))[0]
+        x[i + 1] = 0.931 * x[i] + math.sqrt(1 - 0.931**2) * (d[:, 2] * 0.95 + d[:, 1] * np.sign(d[:, 1] @ axis) * math.sqrt(1 - 0.95**2))
+    told = {r["id"] for r in spark.range(n).where(f"pmod(xxhash64(id, 20240117), {math.ceil(n / 256)}) = 0").collect()}
+    ids = [i for i in range(n) if i not in told] + sorted(told)
+    rows = [(i, v, 5) for i, v in zip(ids, x.tolist(), strict=True)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    want = brute(sorted(rows))
+    assert sum(k for k, _ in want.values()) >= m
+    assert sum(k for k, _ in got.values()) == sum(k for k, _ in want.values()) and got == want
+
+
+@pytest.mark.parametrize("m", [1, 300, 700])
+def test_least_links_join_what_all_links_join(monkeypatch, m):
+    """Of two blocks, or within one where m is all of its rows, in tiles."""
+    monkeypatch.setattr(E, "TILE", 64)
+    rng = np.random.default_rng(9)
+    for noise in (0.05, 0.25, 0.35, 0.45):
+        x = rng.standard_normal((30, 16))[rng.integers(0, 30, 700)] + noise * rng.standard_normal((700, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        hit = x @ x.T >= 0.93
+        np.fill_diagonal(hit, False)
+        if m < 700:
+            hit[:m, :m] = hit[m:, m:] = False
+        a, b = E.least_links(x, m, 0.93)
+        least = np.zeros_like(hit)
+        least[a, b] = least[b, a] = True
+        assert not (least & ~hit).any()
+        i, j = E.spanning(hit)
+        k, l = E.spanning(least)  # noqa: E741
+        assert len(a) == len(k) == len(i) and set(np.concatenate([i, j]).tolist()) == set(np.concatenate([k, l]).tolist())
+
+
+def test_blocks_of_a_label_and_passes_on_request(spark, monkeypatch):
+    """Labels of one, several and many blocks, with links within and across them; passes where a recall below 1 is asked for."""
+    monkeypatch.setattr(E, "PAIRS_BLOCK", 100)
+    monkeypatch.setattr(E, "BLOCK_BYTES", 16 * 8 * 100)
+    rng, rows = np.random.default_rng(10), []
+    for label, n in [(0, 90), (1, 350), (2, 1500)]:
+        x = rng.standard_normal((n, 16))
+        x[::3] = x[1::3][: len(x[::3])] + 0.3 * rng.standard_normal((len(x[::3]), 16))
+        rows += [(len(rows) + k, v, label) for k, v in enumerate(x.tolist())]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    want = brute(rows)
+    assert {r["blocks"] for r in E.whole_groups(E.classes_of(data)[1]).collect()} == {4, 15}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(data).collect()} == want
+    some = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(data, window=16, recall=0.999).collect()}
+    assert all(some[i] <= want[i][0] for i in want) and sum(some.values()) >= 0.98 * sum(n for n, _ in want.values()) > 0
