@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandlake.operators.chunking import chunk_regulations
+from strandlake.operators.chunking import chunk_texts
 from strandlake.operators.runlog import EVIDENCE_TOOL
 from strandlake.schemas import LOG
-from strandlake.sources.markdown import lines_of
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +32,7 @@ def chunk_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, t
     def write(batch: DataFrame, n: int) -> None:
         # several files of a source in one batch: the newest
         texts = batch.groupBy("source").agg(F.max_by("value", "at").alias("value"))
-        chunk_regulations(lines_of(texts)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        chunk_texts(texts).write.mode("overwrite").parquet(f"{path}/batch={n}")
         if then:
             then(batch, n)
 

@@ -57,3 +57,14 @@ def test_common_terms_are_scored_once_for_all_queries(spark):
     assert handed <= (n // 2 + 4) * 8
     got = {(r["query_id"], r["rank"]): r["id"] for r in lexical.search(index, asked, 4).collect()}
     assert all([got[q, k] for k in (1, 2, 3, 4)] == [q, *[i for i in range(4) if i != q][:3]] for q in range(0, n, 2))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_postings_are_counted_where_the_tokens_are(spark, repeated):
+    docs = spark.createDataFrame([d for d in DOCS if repeated or d not in DOCS[150:152]] + [(400 + i, "é " * i + "Words words wordss x9", None) for i in range(3)], "id long, text string, kind string").repartition(3)
+    index = lexical.build(docs, "id", "text", keep=("kind",))
+    found, want = lexical.counted(index.tokens, ("kind",)), lexical.postings_of(index.tokens, ("kind",))
+    names = ["id", "ordinal", "dl", "kind", "term", "tf"]
+    rows = lambda df: sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
+    assert rows(found) == rows(want) and found.schema["tf"].dataType == want.schema["tf"].dataType
+    assert repeated or "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
