@@ -1,5 +1,8 @@
 """What a task holds and hands on: bounded by queries and slices, whatever number of rows it reads."""
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -50,3 +53,17 @@ def test_best_keeps_the_order_of_ties(monkeypatch, type_):
     of = str if type_ == pa.string() else int
     rows = [(int(a), of(b), int(c), float(d)) for a, b, c, d in zip(q, ident, ordinal, score, strict=True)]
     assert got == {r for k in range(3) for r in sorted((x for x in rows if x[0] == k), key=lambda x: (-x[3], x[2], x[1]))[:6]}
+
+
+@pytest.mark.parametrize("at_once", [1 << 19, 7])
+def test_runs_are_hashed_over_all_texts_at_once(monkeypatch, at_once):
+    monkeypatch.setattr(dense, "AT_ONCE", at_once)
+    texts = ["Abc abc", "", None, "a", "a b1 c#d", "été İx K9", "word " * 40, "x" * 60, " lead", "\ud800q1 tail"]
+    want = np.zeros((len(texts), 64), int)
+    for i, t in enumerate(texts):
+        for token in re.findall("[a-z0-9]+", (t or "").lower()):
+            m = f"#{token}#".encode()
+            for h in (zlib.crc32(m[k : k + n]) for n in (3, 4, 5) for k in range(len(m) - n + 1)):
+                want[i, h % 64] += 1 if h >> 16 & 1 else -1
+    assert (dense.hashed_counts(texts, 64) == want).all() and not hasattr(dense, "token_buckets")
+    assert dense.hashed_counts([], 64).shape == (0, 64)
