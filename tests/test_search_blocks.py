@@ -68,3 +68,15 @@ def test_postings_are_counted_where_the_tokens_are(spark, repeated):
     rows = lambda df: sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
     assert rows(found) == rows(want) and found.schema["tf"].dataType == want.schema["tf"].dataType
     assert repeated or "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_a_common_term_take_several_files(spark, tmp_path):
+    docs = spark.range(4000).select("id", F.lit("page").alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lexical.save(lexical.build(docs, "id", "text"), str(tmp_path / "ix"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    rows = spark.read.parquet(str(tmp_path / "ix/postings")).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in rows) == 4000 and len(rows) == 4 and max(r["count"] for r in rows) < 2000
